@@ -5,7 +5,7 @@ of occurrences. For sample j and word k, hashes give r, c ~ Gamma(2, 1) and b ~
 with weight w: t = floor(ln w / r + b), ln a = ln c - r (t - b) - r. The sample is the
 (k, t) of least a. Two documents agree on a sample with probability
 sum(min(w)) / sum(max(w)), the generalised Jaccard similarity, so the share of equal
-samples estimates it. The Gamma draws come from a quantile table of 4,096 steps.
+samples estimates it. The Gamma draws come from a quantile table of 512 steps.
 
 One shuffle moves the texts: documents are dealt into id ranges, and all later grouping
 (words of a document, samples of a document) stays inside a range. The neighbour of a
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import input_bytes, materialize, table
 
 SAMPLES = 64
-STEPS = 4096
+STEPS = 512
 #: Bytes of input in one id range.
 RANGE_BYTES = 3 << 20
 
@@ -46,7 +46,7 @@ def gamma2_quantiles(n: int = STEPS) -> list[float]:
 
 
 def _doubles(values: list[float]) -> Column:
-    return F.split(F.lit(",".join(f"{v:.17g}" for v in values)), ",").cast("array<double>")
+    return F.split(F.lit(",".join(f"{v:.7g}" for v in values)), ",").cast("array<double>")
 
 
 def samples(key: Column, weight: Column, n: int) -> list[Column]:
