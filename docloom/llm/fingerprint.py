@@ -31,11 +31,12 @@ STEPS = 512
 RANGE_BYTES = 3 << 20
 
 
-def gamma2_quantiles(n: int = STEPS) -> list[float]:
-    """Quantiles of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x)."""
-    out, x = [], 1e-3
+def gamma2_quantiles(n: int = STEPS, below: float = 1.0) -> list[float]:
+    """n quantiles of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x), up to
+    the share `below`."""
+    out, x = [], math.sqrt(below / n)
     for i in range(n):
-        q = (i + 0.5) / n
+        q = (i + 0.5) / n * below
         for _ in range(60):
             step = (1 - (1 + x) * math.exp(-x) - q) / (x * math.exp(-x))
             x = max(x - step, x / 2)
@@ -53,13 +54,15 @@ def samples(key: Column, weight: Column, n: int) -> list[Column]:
     """One long per sample: ln a in the upper bits (so that min() finds the winner), 16 bits
     of the winner's identity (key, t) below."""
     q = gamma2_quantiles()
-    r_of, lnc_of = _doubles(q), _doubles([math.log(x) for x in q])
+    # the least c win, so the first step of their table is cut into STEPS steps of its own
+    r_of, lnc_of, lnc_low = _doubles(q), _doubles([math.log(x) for x in q]), _doubles([math.log(x) for x in gamma2_quantiles(STEPS, 1 / STEPS)])
     lnw, out = F.ln(weight.cast("double")), []
     for j in range(n):
         x = F.xxhash64(key, F.lit(j))
         r = F.get(r_of, x.bitwiseAND(F.lit(STEPS - 1)).cast("int"))
-        ln_c = F.get(lnc_of, F.shiftrightunsigned(x, 12).bitwiseAND(F.lit(STEPS - 1)).cast("int"))
-        b = F.shiftrightunsigned(x, 24).cast("double") / F.lit(float(1 << 40))
+        i, k = (F.shiftrightunsigned(x, s).bitwiseAND(F.lit(STEPS - 1)).cast("int") for s in (9, 18))
+        ln_c = F.when(i > 0, F.get(lnc_of, i)).otherwise(F.get(lnc_low, k))
+        b = F.shiftrightunsigned(x, 27).cast("double") / F.lit(float(1 << 37))
         t = F.when(weight == 1, F.lit(0.0)).otherwise(F.floor(lnw / r + b).cast("double"))
         ln_a = ln_c - r * (t - b) - r
         who = F.xxhash64(x, t.cast("long")).bitwiseAND(F.lit(0xFFFF))

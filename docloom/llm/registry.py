@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprint, secrets
+from . import decontaminate, fingerprint, linededup, secrets
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_secrets": secrets.op2_secrets,
+    "op9_linededup": linededup.op9_linededup,
     "op10_fingerprint": fingerprint.op10_fingerprint,
 }
 
