@@ -67,65 +67,70 @@ def windows(text: str, spans: list[tuple[int, int]], size: int = WINDOW) -> np.n
 
 
 def _window_rows(batches):
+    """(window, id, twice) once per document; twice: it comes more than once in this document."""
     for batch in batches:
-        ids, wins = [], []
+        ids, wins, more = [], [], []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            w = np.unique(windows(text, lines(text))) if text else ()
-            if len(w):
+            if text and len(w := windows(text, lines(text))):
+                w, n = np.unique(w, return_counts=True)
                 ids.append(pa.repeat(pa.scalar(i, pa.int64()), len(w)))
                 wins.append(w)
+                more.append(n > 1)
         if wins:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(wins)), pa.concat_arrays(ids)], ["win", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(wins)), pa.concat_arrays(ids), pa.array(np.concatenate(more))], ["win", "id", "twice"])
 
 
-def kept(text: str | None, again: list[int] | None) -> tuple[str | None, int, int]:
-    """The text without repeated windows, its number of lines and of those removed.
-    again: windows that an earlier document holds."""
-    if not text:
-        return text, 0, 0
+def kept(text: str | None, again: list[int] | None) -> tuple[str | None, int]:
+    """The text without repeated windows, and the number of lines removed. again: windows
+    that an earlier document holds; None: no window of the text is repeated anywhere."""
+    if not text or again is None:
+        return text, 0
     spans = lines(text)
     w = windows(text, spans)
     if not len(w):
-        return text, len(spans), 0
+        return text, 0
     _, first = np.unique(w, return_index=True)
     hit = np.ones(len(w), bool)
     hit[first] = False
     if again:
         hit |= np.isin(w, np.array(again, np.int64))
     if not hit.any():
-        return text, len(spans), 0
+        return text, 0
     cover = np.zeros(len(spans), bool)
     for i in range(WINDOW):
         cover[i : i + len(hit)] |= hit
-    return "".join(text[a:b] for (a, b), c in zip(spans, cover) if not c).rstrip(), len(spans), int(cover.sum())
+    return "".join(text[a:b] for (a, b), c in zip(spans, cover) if not c).rstrip(), int(cover.sum())
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text after removal, and n_lines, n_removed."""
-    spark = configure(docs.sparkSession)
+    """docs with the text after removal, and n_removed (lines)."""
+    configure(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    wins = rows.mapInArrow(_window_rows, "win long, id long")
-    first = wins.groupBy("win").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("win", "first")
+    wins = materialize(rows.mapInArrow(_window_rows, "win long, id long, twice boolean"), "op9-windows")
+    first = wins.groupBy("win").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.max("twice").alias("any")).where("n > 1 or any").select("win", "first")
     first = materialize(first, "op9-repeated")
-    again = wins.join(first, "win").where(~F.col("id").eqNullSafe(F.col("first")))
-    again = materialize(again.groupBy("id").agg(F.sort_array(F.collect_set("win")).alias("_again")), "op9-again")
+    earlier = ~F.col("id").eqNullSafe(F.col("first"))
+    again = wins.join(first, "win").where(earlier | F.col("twice"))
+    again = again.groupBy("id").agg(F.sort_array(F.collect_set(F.when(earlier, F.col("win")))).alias("_again"))
+    again = materialize(again, "op9-again")
+    discard(wins, first)
 
     whole = docs.join(again, docs[id_col].eqNullSafe(again["id"]), "left").drop("id")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())])
     names = docs.columns
 
     def remove(batches):
         for batch in batches:
             done = [kept(t, a) for t, a in zip(batch.column(text_col).to_pylist(), batch.column("_again").to_pylist())]
             cols = [pa.array([d[0] for d in done], pa.string()) if c == text_col else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], [*names, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([d[1] for d in done], pa.int64())], [*names, "n_removed"])
 
     return whole.select(*names, "_again").mapInArrow(remove, schema)
 
 
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
+    return dedup(docs).select("doc_id", "n_removed", "text")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
