@@ -35,7 +35,8 @@ END_ID = 2
 #: Ids of one segment (a longer document has its own).
 SEGMENT_IDS = 1 << 20
 SAMPLE = 64
-MEMORY = 300_000
+#: Distinct pieces that a worker remembers; the memory starts anew beyond them.
+MEMORY = 800_000
 
 FIELDS = "n_docs long, n_ids long, first long, width int, ids binary, no_id long, base_id long, "
 FIELDS += ", ".join(f"{k}_{f}" for k in ("ends", "docs") for f in ("n long", "low_bits int", "low binary", "high binary", "samples binary"))
@@ -92,8 +93,10 @@ class EliasFano:
         return self.n, self.low_bits, self.low, self.high, self.samples
 
 
-# a run of white space gives its last space to the next word, as the tokenizer's own pattern does
-_PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s")
+# A run of white space gives its last space to the next word, as the tokenizer's own pattern
+# does. Latin letters before plain punctuation or white space end a pre-token, so that words
+# are remembered without their punctuation.
+_PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,;:!?]|\Z)| ?\S+|\s+(?!\S)|\s")
 #: Characters on which Python and the tokenizer differ about white space.
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -128,7 +131,8 @@ class Encoder:
         for i in range(0, len(missing), 4096):
             self.memory |= zip(missing[i : i + 4096], self._encode(missing[i : i + 4096]))
         m = self.memory
-        return [self._encode([t])[0] if c is None else b"".join([m[p] for p in c]) for t, c in zip(texts, cut)]
+        get = m.__getitem__
+        return [self._encode([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
 
 @lru_cache(maxsize=2)
