@@ -31,10 +31,9 @@ from .common import configure, mix, slices, table
 
 MARK = "▁"
 #: Distinct words that a worker remembers; the memory starts anew beyond them.
-MEMORY = 300_000
+MEMORY = 800_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 _BITS = 1 << 22
 
 
@@ -115,6 +114,11 @@ class Model:
         self.keys, self.place = keys[by], by
         self.bits = np.zeros(_BITS, bool)
         self.bits[(keys & np.uint64(_BITS - 1)).astype(np.int64)] = True
+        # where no piece holds a letter before a punctuation mark, no merge crosses that border
+        after_letter = {b for p in self.id_of for a, b in zip(p, p[1:]) if a.isalpha()}
+        ends = "".join(c for c in ".,;:!?" if c not in after_letter)
+        word = rf"{MARK}*[^\W\d_]+(?=[{re.escape(ends)}])|" if ends else ""
+        self.word = re.compile(rf"{word}{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
     def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Place of the piece that merges a and b, or a number above all."""
@@ -141,7 +145,7 @@ class Model:
             live, a, b, limit = live[~done], a[~done], b[~done], limit[~done]
         return out
 
-    def _viterbi(self, words: list[str]) -> list[np.ndarray]:
+    def _viterbi(self, words: list[str]) -> list[bytes]:
         """Ids of words of one length."""
         size, m = len(words[0]), len(words)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, size)
@@ -170,28 +174,39 @@ class Model:
             token[:, end] = found
         return self._trace(words, token, length)
 
-    def _trace(self, words, token, length) -> list[np.ndarray]:
+    def _trace(self, words, token, length) -> list[bytes]:
+        """Follow the backpointers of all words at once."""
         m, size = len(words), len(words[0])
-        at, rows, steps = np.full(m, size), np.arange(m), []
+        ids = np.full((m, size), -2, np.int32)
+        at, rows = np.full(m, size), np.arange(m)
+        unknown = []
         while len(rows):
-            steps.append((rows, token[rows, at[rows]], at[rows]))
+            found = self.id_at[token[rows, at[rows]]]
+            ids[rows, at[rows] - 1] = found
+            if (found < 0).any():
+                unknown.append(rows[found < 0])
             at[rows] -= length[rows, at[rows]]
             rows = rows[at[rows] > 0]
-        out: list[list[int]] = [[] for _ in range(m)]
-        for rows, tok, end in reversed(steps):
-            for r, t, e in zip(rows.tolist(), self.id_at[tok].tolist(), end.tolist()):
-                out[r].extend((t,) if t >= 0 else self._bytes(words[r][e - 1]))
-        return [np.array(x, np.int32) for x in out]
+        keep = ids != -2
+        flat, cut = ids[keep].astype("<i4").tobytes(), np.append(0, np.cumsum(keep.sum(axis=1)) * 4).tolist()
+        out = [flat[a:b] for a, b in zip(cut, cut[1:])]
+        for r in set(np.concatenate(unknown).tolist()) if unknown else ():
+            got = []
+            for e, i in enumerate(ids[r].tolist()):
+                got.extend(() if i == -2 else (i,) if i >= 0 else self._bytes(words[r][e]))
+            out[r] = np.array(got, "<i4").tobytes()
+        return out
 
     def _bytes(self, char: str) -> list[int]:
         raw = char.encode("utf-8", "replace")
         return [self.byte_id[b] for b in raw] if self.byte_id else [self.unknown]
 
-    def encode_words(self, words: list[str]) -> dict[str, np.ndarray]:
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word as little-endian 32-bit integers."""
         out, by_size = {}, {}
         for w in words:
             if MARK * 2 in w:
-                out[w] = np.array([i for p in self.merge(w) for i in ([self.id_of[p]] if p in self.id_of else self._bytes(p))], np.int32)
+                out[w] = np.array([i for p in self.merge(w) for i in ([self.id_of[p]] if p in self.id_of else self._bytes(p))], "<i4").tobytes()
             else:
                 by_size.setdefault(len(w), []).append(w)
         for size, same in by_size.items():
@@ -202,14 +217,14 @@ class Model:
 
     def encode(self, texts: list[str | None], memory: dict | None = None) -> list[np.ndarray]:
         memory = {} if memory is None else memory
-        cut = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        cut = [self.word.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         missing = list(set().union(*cut).difference(memory)) if cut else []
         if len(memory) + len(missing) > MEMORY:
             memory.clear()
             missing = list(set().union(*cut))
         memory |= self.encode_words(missing)
-        none = np.zeros(0, np.int32)
-        return [np.concatenate([memory[w] for w in ws]) if ws else none for ws in cut]
+        get = memory.__getitem__
+        return [np.frombuffer(b"".join(map(get, ws)), "<i4") for ws in cut]
 
     def decode(self, ids) -> str:
         text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
