@@ -138,4 +138,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     remains (a later exact copy) goes, one that had none to begin with stays."""
     out = dedup(docs)
     gone = (F.col("n_removed") > 0) & (F.length(F.trim("text")) == 0)
-    return out.where(~F.coalesce(gone, F.lit(False))).select(*docs.columns)
+    out = out.where(~F.coalesce(gone, F.lit(False)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

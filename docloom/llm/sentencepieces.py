@@ -104,6 +104,8 @@ class Model:
             whole.append(place[p])
         by = np.argsort(pairs)
         self.pairs, self.whole = np.array(pairs, np.int64)[by], np.array(whole, np.int64)[by]
+        self.pair_bits = np.zeros(_BITS, bool)
+        self.pair_bits[self._pair_slot(self.pairs)] = True
         self.longest = max(map(len, order), default=1)
         keys = np.zeros(n, np.uint64)
         for size in {len(p) for p in order}:
@@ -120,11 +122,21 @@ class Model:
         word = rf"{MARK}*[^\W\d_]+(?=[{re.escape(ends)}])|" if ends else ""
         self.word = re.compile(rf"{word}{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
+    @staticmethod
+    def _pair_slot(code: np.ndarray) -> np.ndarray:
+        return (code * 0x9E3779B1 >> 10) & (_BITS - 1)
+
     def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Place of the piece that merges a and b, or a number above all."""
         code = a * (self.n + 1) + b
-        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == code, self.whole[at], self.n + 1)
+        out = np.full(len(code), self.n + 1)
+        maybe = np.flatnonzero(self.pair_bits[self._pair_slot(code)])
+        if len(maybe):
+            code = code[maybe]
+            at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+            hit = self.pairs[at] == code
+            out[maybe[hit]] = self.whole[at[hit]]
+        return out
 
     def side_by_side(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether tokens a and b (places) can stay neighbours. Both are taken apart, the one
