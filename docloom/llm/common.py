@@ -146,7 +146,7 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Parts of a batch of about `most` text bytes (a single longer text is its own part)."""
     sizes = np.diff(text_bytes(batch.column(column))[1])
     begin, total = 0, 0

@@ -49,9 +49,9 @@ NUM, DEN = 80, 100
 LARGE = 32
 LEVELS = 4
 #: Input bytes for each hash range of signatures.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 4 << 20
 #: Signatures that a task holds before it sends them.
-HELD = 2_000_000
+HELD = 500_000
 
 
 def bands(most: int) -> np.ndarray:
@@ -238,16 +238,24 @@ MEMBER, LARGE_MEMBER, STAR, COUNT = range(4)
 
 
 def _buckets(batches):
-    """All blobs of one hash range -> found rows."""
-    entries, sigs = [], []
+    """Blobs sorted by hash range -> found rows, one range at a time."""
+    now, entries, sigs = None, [], []
     for batch in batches:
-        for e, s in zip(batch.column("entries"), batch.column("sigs")):
-            entries.append(np.frombuffer(e.as_buffer(), _ENTRY))
-            sigs.append(unpack(s.as_py()))
-    if not entries:
-        return
-    e, sig = np.concatenate(entries), np.concatenate(sigs)
-    del entries, sigs
+        for p, e, s in zip(batch.column("p").to_pylist(), batch.column("entries"), batch.column("sigs")):
+            if p != now and entries:
+                yield from _range(entries, sigs)
+                entries, sigs = [], []
+            now = p
+            entries.append(np.frombuffer(e.as_py(), _ENTRY))
+            sigs.append(s.as_py())
+    if entries:
+        yield from _range(entries, sigs)
+
+
+def _range(entries: list, sigs: list):
+    e, sig = np.concatenate(entries), unpack(b"".join(sigs))
+    entries.clear()
+    sigs.clear()
     of = np.repeat(np.arange(len(e)), e["n"])
     order = np.lexsort((e["key"][of], sig))
     sig, of = sig[order], of[order]
