@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -112,13 +113,33 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
+        self.kind, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.whole = (*_ODD, *special)
         self.memory: dict[str, bytes] = {}
+        # a word of Latin letters is one pre-token: the model takes it without the pipeline,
+        # in the byte-level alphabet
+        self.word = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+        pipeline = type(self.tok.pre_tokenizer).__name__ == "ByteLevel" and not self.tok.pre_tokenizer.add_prefix_space and self.tok.normalizer is None
+        self.model = self.tok.model if pipeline else None
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.letters = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in (32, *range(0xC0, 0x100))}
+
+    def _piece(self, piece: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(piece.translate(self.letters))]).tobytes()
+
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        words = [p for p in pieces if self.word.fullmatch(p)] if self.model else []
+        out = {p: self._piece(p) for p in words}
+        rest = [p for p in pieces if p not in out]
+        for i in range(0, len(rest), 4096):
+            out |= zip(rest[i : i + 4096], self._encode(rest[i : i + 4096]))
+        return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text."""
@@ -128,8 +149,7 @@ class Encoder:
         if len(self.memory) + len(missing) > MEMORY:
             self.memory.clear()
             missing = list(pieces)
-        for i in range(0, len(missing), 4096):
-            self.memory |= zip(missing[i : i + 4096], self._encode(missing[i : i + 4096]))
+        self.memory |= self._pieces(missing)
         m = self.memory
         get = m.__getitem__
         return [self._encode([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
