@@ -17,10 +17,13 @@ signature of a small bucket, so large buckets only matter between sets that are
 covered; nothing is dropped.
 
 Links. Equal sets are one class from the start. In each bucket the members are joined with
-the least member (a star, not all pairs); each member is verified against the candidate
-with which it shares most signatures, which builds most components. Then every bucket that
-still holds several components has its remaining members compared with its members of
-other components, first by an upper bound from small histograms of the sets, then exactly.
+one of them, in large buckets with the member of most large buckets (a star, not all pairs);
+each member is verified against the candidate with which it shares most signatures, which
+builds most components. Then every small bucket that still holds several components has its
+remaining members compared with its members of other components, first by an upper bound
+from small histograms of the sets, then exactly. Members of large buckets that are outside
+the main component of their candidate group are counted against the whole group in blocks
+of bounded size; a block emits links only.
 
 Sets travel packed by hash range (one row per task and range), are grouped in numpy, and
 verified sets are shipped once per member. All intermediate tables are written to the shared
@@ -37,6 +40,7 @@ import gc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -285,6 +289,7 @@ def _range(entries: list, sigs: list):
         at, b = members(small[first])
         lead = key[head[small[first]]][b]
         put(MEMBER, ids.view(np.int64)[b], 0, key[at], 0, 0)
+        # the least member of a small bucket is its star's centre
         put(STAR, 0, 0, lead[lead != key[at]], key[at][lead != key[at]], times[b][lead != key[at]])
     large = np.flatnonzero(size > LARGE)
     if len(large):
@@ -304,6 +309,31 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(np.diff(at), pa.int64()), pa.array([sketch(s) for s in each], pa.binary()), pa.array([pack(s) for s in each], pa.binary())], ["key", "n", "sketch", "body"])
 
 
+def _block(key, table):  # applyInArrow cannot read string annotations
+    """Links between the remaining members (left) and all members (right) of a block, one for
+    each pair of a left member and a component."""
+    left = table.filter(table.column("left"))
+    right = table.filter(pa.compute.invert(table.column("left")))
+    bodies = [unpack(b.as_py()) for b in right.column("body")]
+    a_out, b_out = [], []
+    if bodies and left.num_rows:
+        flat, size = np.concatenate(bodies), np.array([len(b) for b in bodies])
+        known, code = np.unique(flat, return_inverse=True)
+        begin = np.append(0, np.cumsum(size)[:-1])
+        keys, comps = right.column("key").to_numpy(), right.column("comp").to_numpy()
+        for k, c, body in zip(left.column("key").to_pylist(), left.column("comp").to_pylist(), left.column("body")):
+            x = unpack(body.as_py())
+            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+            mark = np.zeros(len(known), np.int32)
+            mark[at[known[at] == x]] = 1
+            both = np.add.reduceat(mark[code], begin)
+            near = np.flatnonzero((DEN * both >= NUM * (len(x) + size - both)) & (comps != c))
+            _, first = np.unique(comps[near], return_index=True)
+            a_out += [k] * len(first)
+            b_out += keys[near[first]].tolist()
+    return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+
 def _bounded(batches):
     for batch in batches:
         ok = [may_link(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "n_a", "n_b")))]
@@ -374,36 +404,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count = found.where(f"kind = {COUNT}").groupBy("a", "slot").agg(F.sum("n").alias("large"), F.max("b").alias("r"))
     open_ = count.where("large >= r").select("a", "slot")
     hot = materialize(found.where(f"kind = {LARGE_MEMBER}").join(open_, ["a", "slot"]).select("bucket", F.col("a").alias("key")), "op5-large")
-    lead = materialize(hot.groupBy("bucket").agg(F.min("key").alias("a"), F.count("*").alias("m")).where("m > 1").select("bucket", "a"), "op5-leads")
-    star = hot.join(lead, "bucket").where("key != a").select("a", F.col("key").alias("b"), F.lit(1).alias("n"))
-    star = found.where(f"kind = {STAR}").select("a", "b", "n").union(star).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    star = materialize(star, "op5-star")
-    best = materialize(star.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")), "op5-best")
-
-    wanted = best.select(F.col("b").alias("key")).union(best.select("a")).distinct()
-    wanted = wanted.join(classes, "key").select("key", F.col("rep").alias("doc_id"))
-    sets = materialize(rows.join(wanted, "doc_id").select("key", "text").mapInArrow(_sets, "key long, n long, sketch binary, body binary"), "op5-sets")
+    degree = materialize(hot.groupBy("key").agg(F.count("*").alias("degree")), "op5-degrees")
+    lead = hot.join(degree, "key").groupBy("bucket").agg(F.max_by("key", F.struct("degree", "key")).alias("a"), F.count("*").alias("m")).where("m > 1")
+    lead = materialize(lead.select("bucket", "a"), "op5-leads")
+    large = hot.join(lead, "bucket").where("key != a").groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("n"))
+    large = materialize(large, "op5-large-star")
+    star = found.where(f"kind = {STAR}").select("a", "b", "n").union(large).groupBy("a", "b").agg(F.sum("n").cast("long").alias("n"))
+    best = materialize(star.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")), "op5-best")
+    discard(lead)
+
+    member = found.where(f"kind = {MEMBER}").select("bucket", F.col("a").alias("key")).distinct()
+    member = materialize(member, "op5-members")
+    discard(found)
+    wanted = member.select("key").union(degree.select("key")).distinct().join(classes, "key").select("key", F.col("rep").alias("doc_id"))
+    sets = rows.join(wanted, "doc_id").select("key", "text").mapInArrow(_sets, "key long, n long, sketch binary, body binary")
     # rows that share a doc_id may bring other texts
-    sets = sets.dropDuplicates(["key"]) if _repeated(info) else sets
+    sets = materialize(sets.dropDuplicates(["key"]) if _repeated(info) else sets, "op5-sets")
     _tidy(spark)
 
     link = materialize(_pairs_with(best.select("a", "b"), sets, ["body"]).mapInArrow(_verified, "a long, b long"), "op5-links")
     comp = components(link)
     _tidy(spark)
 
-    # buckets that still hold several components
-    member = found.where(f"kind = {MEMBER}").select("bucket", F.col("a").alias("key")).union(hot.select("bucket", "key")).distinct()
-    member = member.join(comp, "key", "left").select("bucket", "key", F.coalesce("comp", "key").alias("comp"))
-    member = materialize(member, "op5-members")
-    sizes = member.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("bucket", "main")
-    mixed = materialize(member.join(main, "bucket"), "op5-mixed")
-    rest = mixed.where("comp != main").select("bucket", F.col("key").alias("x"), F.col("comp").alias("cx"))
-    cross = rest.join(mixed.select("bucket", "key", "comp", "main"), "bucket").where("comp != cx and (comp = main or x < key)")
-    cross = cross.select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct()
-    cross = cross.join(best.select("a", "b"), ["a", "b"], "left_anti")  # verified already
+    # small buckets that still hold several components
+    mixed = member.join(comp, "key", "left").select("bucket", "key", F.coalesce("comp", "key").alias("comp"))
+    mixed = materialize(mixed, "op5-labelled")
+    several = mixed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("bucket")
+    mixed = mixed.join(several, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("key", "comp")).alias("m"))  # at most LARGE
+    cross = mixed.mapInArrow(_cross, "a long, b long").distinct()
+    done = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = cross.join(done, ["a", "b"], "left_anti")  # verified already
     cross = materialize(_pairs_with(cross, sets, ["sketch", "n"]).mapInArrow(_bounded, "a long, b long"), "op5-cross")
     more = materialize(_pairs_with(cross, sets, ["body"]).mapInArrow(_verified, "a long, b long"), "op5-more")
+    discard(member)
+    _tidy(spark)
+    if large.limit(1).count():
+        more = materialize(more.union(_group_links(large, degree, comp, sets)), "op5-more")
     if more.limit(1).count():
         comp = components(link.union(more))
 
@@ -415,6 +451,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.col("n").alias("n_shingles"), mine.alias("component_id"))
 
 
+def _cross(batches):
+    """Pairs of members of different components in small buckets."""
+    for batch in batches:
+        a, b = [], []
+        for row in batch.column("m").to_pylist():
+            keys, comps = np.array([m["key"] for m in row]), np.array([m["comp"] for m in row])
+            x, y = np.nonzero((keys[:, None] < keys[None, :]) & (comps[:, None] != comps[None, :]))
+            a.append(keys[x])
+            b.append(keys[y])
+        if a:
+            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+
+#: Bytes of packed sets on each side of a block.
+BLOCK_BYTES = 8 << 20
+
+
+def _group_links(star: DataFrame, members: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of members of large buckets that the star has left outside the main
+    component of their candidate group (the stars' connected components)."""
+    group = components(star).select("key", F.col("comp").alias("grp"))
+    one = members.select("key").join(group, "key").join(comp, "key", "left").join(sets.select("key", "n"), "key")
+    one = materialize(one.select("key", "grp", F.coalesce("comp", "key").alias("comp"), "n"), "op5-groups")
+    sizes = one.groupBy("grp", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("size"))
+    groups = sizes.groupBy("grp").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("size").alias("size"), F.count("*").alias("comps"), F.max("m").alias("top"), F.sum("m").alias("all")).where("comps > 1")
+    # block counts: bytes of all members, and of the remaining ones at the group's mean
+    blocks = lambda share: F.ceil(F.col("size") * 6 * share / BLOCK_BYTES).cast("int")
+    groups = groups.select("grp", "main", blocks(F.lit(1.0)).alias("right_blocks"), F.greatest(blocks(1 - F.col("top") / F.col("all")), F.lit(1)).alias("left_blocks"))
+    one = materialize(one.join(groups, "grp"), "op5-grouped")
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = one.where("comp != main").select("key", "grp", "comp", F.lit(True).alias("left"), own("left_blocks").alias("l"), every("right_blocks").alias("r"))
+    right = one.select("key", "grp", "comp", F.lit(False).alias("left"), every("left_blocks").alias("l"), own("right_blocks").alias("r"))
+    both = left.union(right).join(sets.select("key", "body"), "key")
+    return both.groupBy("grp", "l", "r").applyInArrow(_block, "a long, b long")
+
+
 def _repeated(info: DataFrame) -> bool:
     return bool(info.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
 
