@@ -146,12 +146,20 @@ def signatures(x: np.ndarray, at: np.ndarray):
 def sketch(x: np.ndarray) -> bytes:
     """Counts of a set over a power of two of bins, about four to a bin."""
     bits = max(0, int(len(x) // 4).bit_length())
-    return bytes([bits]) + np.bincount((mix(x + np.uint64(99)) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64), minlength=1 << bits).astype("<u2").tobytes()
+    counts = np.bincount((mix(x + np.uint64(99)) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64), minlength=1 << bits)
+    wide = counts.max(initial=0) > 255
+    return (b"2" if wide else b"1") + counts.astype("<u2" if wide else "u1").tobytes()
+
+
+def _counts(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, "<u2" if b[:1] == b"2" else "u1", offset=1).astype(np.int64)
 
 
 def may_link(a: bytes, b: bytes, na: int, nb: int) -> bool:
     """False only if the two sets cannot link."""
-    x, y = np.frombuffer(a, "<u2", offset=1).astype(np.int64), np.frombuffer(b, "<u2", offset=1).astype(np.int64)
+    if DEN * min(na, nb) < NUM * max(na, nb):
+        return False
+    x, y = _counts(a), _counts(b)
     if len(x) > len(y):
         x = x.reshape(len(y), -1).sum(axis=1)
     elif len(y) > len(x):
@@ -183,7 +191,8 @@ def _info(batches):
     for batch in batches:
         for part in slices(batch, "text"):
             x, at = shingle_sets(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(set_keys(x, at))], ["doc_id", "n", "key"])
+            marks = [sketch(x[at[i] : at[i + 1]]) for i in range(part.num_rows)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(set_keys(x, at)), pa.array(marks, pa.binary())], ["doc_id", "n", "key", "sketch"])
 
 
 def _packed(ranges: int):
@@ -305,8 +314,7 @@ def _sets(batches):
     for batch in batches:
         for part in slices(batch, "text"):
             x, at = shingle_sets(part.column("text"))
-            each = [x[at[i] : at[i + 1]] for i in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(np.diff(at), pa.int64()), pa.array([sketch(s) for s in each], pa.binary()), pa.array([pack(s) for s in each], pa.binary())], ["key", "n", "sketch", "body"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([pack(x[at[i] : at[i + 1]]) for i in range(part.num_rows)], pa.binary())], ["key", "body"])
 
 
 def _block(key, table):  # applyInArrow cannot read string annotations
@@ -337,7 +345,7 @@ def _block(key, table):  # applyInArrow cannot read string annotations
 def _bounded(batches):
     for batch in batches:
         ok = [may_link(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "n_a", "n_b")))]
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        yield batch.select(["a", "b", "shared"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _verified(batches):
@@ -381,19 +389,49 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _pairs_with(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
-    """pairs (a, b) with the named columns of both sets, suffixed."""
+    """pairs (a, b, ...) with the named columns of both sets, suffixed."""
+    own = pairs.columns
     for side in ("b", "a"):
         pairs = pairs.join(sets.select(F.col("key").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
-    return pairs.select("a", "b", *[f"{c}_{s}" for c in columns for s in "ab"])
+    return pairs.select(*own, *[f"{c}_{s}" for c in columns for s in "ab"])
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, tag: str) -> DataFrame:
+    """The pairs (a, b, shared) that sizes and sketches leave."""
+    return materialize(_pairs_with(pairs, classes, ["sketch", "n"]).mapInArrow(_bounded, "a long, b long, shared long"), tag)
+
+
+def _links(pairs: DataFrame, sets: DataFrame, tag: str) -> DataFrame:
+    return materialize(_pairs_with(pairs.select("a", "b"), sets, ["body"]).mapInArrow(_verified, "a long, b long"), tag)
+
+
+#: Bytes of (key, doc_id) rows up to which they are broadcast to the scan of the documents.
+LOOKUP_BYTES = 32 << 20
+
+
+def _fetch(keys: DataFrame, classes: DataFrame, rows: DataFrame, repeated: bool) -> DataFrame:
+    """key, body of the wanted classes, read from one document of each."""
+    wanted = materialize(keys.distinct().join(classes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id")), "op5-wanted")
+    small = wanted.count() * 16 <= LOOKUP_BYTES
+    sets = rows.join(F.broadcast(wanted) if small else wanted, "doc_id").select("key", "text").mapInArrow(_sets, "key long, body binary")
+    # rows that share a doc_id may bring other texts
+    return materialize(sets.dropDuplicates(["key"]) if repeated else sets, "op5-sets")
+
+
+def _both_keys(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = configure(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    info = materialize(rows.mapInArrow(_info, "doc_id long, n long, key long"), "op5-info")
+    info = materialize(rows.mapInArrow(_info, "doc_id long, n long, key long, sketch binary"), "op5-info")
     known = info.where("n > 0 and doc_id is not null")
-    classes = materialize(known.groupBy("key").agg(F.min("doc_id").alias("rep")), "op5-classes")
+    classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"))
+    classes = classes.join(known.select("key", F.col("doc_id").alias("rep"), "n", "sketch"), ["key", "rep"])
+    repeated = _repeated(info)
+    classes = materialize(classes.dropDuplicates(["key"]) if repeated else classes, "op5-classes")
 
     ranges = max(16, -(-input_bytes(docs) // RANGE_BYTES))
     packed = rows.where("doc_id is not null").select("text").mapInArrow(_packed(ranges), "p int, entries binary, sigs binary")
@@ -409,44 +447,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lead = materialize(lead.select("bucket", "a"), "op5-leads")
     large = hot.join(lead, "bucket").where("key != a").groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("n"))
     large = materialize(large, "op5-large-star")
-    star = found.where(f"kind = {STAR}").select("a", "b", "n").union(large).groupBy("a", "b").agg(F.sum("n").cast("long").alias("n"))
-    best = materialize(star.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")), "op5-best")
-    discard(lead)
-
+    star = found.where(f"kind = {STAR}").select("a", "b", "n").union(large).groupBy("a", "b").agg(F.sum("n").cast("long").alias("shared"))
+    star = _possible(star, classes, "op5-star")
+    best = materialize(star.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")), "op5-best")
     member = found.where(f"kind = {MEMBER}").select("bucket", F.col("a").alias("key")).distinct()
     member = materialize(member, "op5-members")
-    discard(found)
-    wanted = member.select("key").union(degree.select("key")).distinct().join(classes, "key").select("key", F.col("rep").alias("doc_id"))
-    sets = rows.join(wanted, "doc_id").select("key", "text").mapInArrow(_sets, "key long, n long, sketch binary, body binary")
-    # rows that share a doc_id may bring other texts
-    sets = materialize(sets.dropDuplicates(["key"]) if _repeated(info) else sets, "op5-sets")
-    _tidy(spark)
+    discard(lead, star, found)
 
-    link = materialize(_pairs_with(best.select("a", "b"), sets, ["body"]).mapInArrow(_verified, "a long, b long"), "op5-links")
+    sets = _fetch(_both_keys(best).union(degree.select("key")), classes, rows, repeated)
+    link = _links(best, sets, "op5-links")
     comp = components(link)
     _tidy(spark)
 
     # small buckets that still hold several components
     mixed = member.join(comp, "key", "left").select("bucket", "key", F.coalesce("comp", "key").alias("comp"))
-    mixed = materialize(mixed, "op5-labelled")
-    several = mixed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("bucket")
-    mixed = mixed.join(several, "bucket").groupBy("bucket").agg(F.collect_list(F.struct("key", "comp")).alias("m"))  # at most LARGE
+    mixed = mixed.groupBy("bucket").agg(F.collect_list(F.struct("key", "comp")).alias("m"))  # at most LARGE
     cross = mixed.mapInArrow(_cross, "a long, b long").distinct()
     done = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = cross.join(done, ["a", "b"], "left_anti")  # verified already
-    cross = materialize(_pairs_with(cross, sets, ["sketch", "n"]).mapInArrow(_bounded, "a long, b long"), "op5-cross")
-    more = materialize(_pairs_with(cross, sets, ["body"]).mapInArrow(_verified, "a long, b long"), "op5-more")
+    cross = cross.join(done, ["a", "b"], "left_anti").withColumn("shared", F.lit(1).cast("long"))  # verified already
+    cross = _possible(cross, classes, "op5-cross")
     discard(member)
+    more = _links(cross, _fetch(_both_keys(cross), classes, rows, repeated), "op5-more")
     _tidy(spark)
     if large.limit(1).count():
-        more = materialize(more.union(_group_links(large, degree, comp, sets)), "op5-more")
+        more = materialize(more.union(_group_links(large, degree, comp, sets, classes)), "op5-more")
     if more.limit(1).count():
         comp = components(link.union(more))
 
-    least = comp.join(classes, "key").groupBy("comp").agg(F.min("rep").alias("component_id"))
-    final = classes.join(comp, "key", "left").join(least, "comp", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
+    least = comp.join(classes.select("key", "rep"), "key").groupBy("comp").agg(F.min("rep").alias("component_id"))
+    final = classes.select("key", "rep").join(comp, "key", "left").join(least, "comp", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
     final = materialize(final, "op5-final")
-    out = info.join(final, "key", "left")
+    out = info.drop("sketch").join(final, "key", "left")
     mine = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), mine.alias("component_id"))
 
@@ -457,6 +488,8 @@ def _cross(batches):
         a, b = [], []
         for row in batch.column("m").to_pylist():
             keys, comps = np.array([m["key"] for m in row]), np.array([m["comp"] for m in row])
+            if (comps == comps[0]).all():
+                continue
             x, y = np.nonzero((keys[:, None] < keys[None, :]) & (comps[:, None] != comps[None, :]))
             a.append(keys[x])
             b.append(keys[y])
@@ -469,11 +502,11 @@ def _cross(batches):
 BLOCK_BYTES = 8 << 20
 
 
-def _group_links(star: DataFrame, members: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+def _group_links(star: DataFrame, members: DataFrame, comp: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) of members of large buckets that the star has left outside the main
     component of their candidate group (the stars' connected components)."""
     group = components(star).select("key", F.col("comp").alias("grp"))
-    one = members.select("key").join(group, "key").join(comp, "key", "left").join(sets.select("key", "n"), "key")
+    one = members.select("key").join(group, "key").join(comp, "key", "left").join(classes.select("key", "n"), "key")
     one = materialize(one.select("key", "grp", F.coalesce("comp", "key").alias("comp"), "n"), "op5-groups")
     sizes = one.groupBy("grp", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("size"))
     groups = sizes.groupBy("grp").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("size").alias("size"), F.count("*").alias("comps"), F.max("m").alias("top"), F.sum("m").alias("all")).where("comps > 1")
