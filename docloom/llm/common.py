@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -157,3 +159,18 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
         total += n
     if begin < batch.num_rows:
         yield batch.slice(begin)
+    trim()
+
+
+@lru_cache(maxsize=1)
+def _malloc_trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def trim() -> None:
+    """Give freed memory back: a worker lives on between stages, beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim()(0)

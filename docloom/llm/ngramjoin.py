@@ -44,7 +44,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import configure, discard, grams, input_bytes, materialize, mix, slices, table, text_bytes, words
+from .common import configure, discard, grams, input_bytes, materialize, mix, slices, table, text_bytes, trim, words
 
 WORDS = 5
 #: Jaccard threshold as a fraction.
@@ -258,11 +258,13 @@ def _buckets(batches):
             if p != now and entries:
                 yield from _range(entries, sigs)
                 entries, sigs = [], []
+                trim()
             now = p
             entries.append(np.frombuffer(e.as_py(), _ENTRY))
             sigs.append(s.as_py())
     if entries:
         yield from _range(entries, sigs)
+    trim()
 
 
 def _range(entries: list, sigs: list):

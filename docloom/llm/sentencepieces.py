@@ -31,7 +31,7 @@ from .common import configure, mix, slices, table
 
 MARK = "▁"
 #: Distinct words that a worker remembers; the memory starts anew beyond them.
-MEMORY = 800_000
+MEMORY = 500_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _BITS = 1 << 22
