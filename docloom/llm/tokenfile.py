@@ -116,7 +116,7 @@ class Encoder:
         self.kind, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.whole = (*_ODD, *special)
-        self.memory: dict[str, bytes] = {}
+        self.memory = _Memory(self)
         # a word of Latin letters is one pre-token: the model takes it without the pipeline,
         # in the byte-level alphabet
         self.word = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -127,32 +127,37 @@ class Encoder:
         alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.letters = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in (32, *range(0xC0, 0x100))}
 
-    def _piece(self, piece: str) -> bytes:
-        return array(self.code, [t.id for t in self.model.tokenize(piece.translate(self.letters))]).tobytes()
+    def piece(self, piece: str) -> bytes:
+        if self.model and self.word.fullmatch(piece):
+            return array(self.code, [t.id for t in self.model.tokenize(piece.translate(self.letters))]).tobytes()
+        return self.text(piece)
 
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        words = [p for p in pieces if self.word.fullmatch(p)] if self.model else []
-        out = {p: self._piece(p) for p in words}
-        rest = [p for p in pieces if p not in out]
-        for i in range(0, len(rest), 4096):
-            out |= zip(rest[i : i + 4096], self._encode(rest[i : i + 4096]))
-        return out
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+    def text(self, text: str) -> bytes:
+        return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text."""
-        cut = [None if t and any(w in t for w in self.whole) else _PIECE.findall(t or "") for t in texts]
-        pieces = set().union(*(c for c in cut if c))
-        missing = list(pieces.difference(self.memory))
-        if len(self.memory) + len(missing) > MEMORY:
+        get, out = self.memory.__getitem__, []
+        for t in texts:
+            if t and any(w in t for w in self.whole):
+                out.append(self.text(t))
+            else:
+                out.append(b"".join(map(get, _PIECE.findall(t))) if t else b"")
+        if len(self.memory) > MEMORY:
             self.memory.clear()
-            missing = list(pieces)
-        self.memory |= self._pieces(missing)
-        m = self.memory
-        get = m.__getitem__
-        return [self._encode([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+        return out
+
+
+class _Memory(dict):
+    """Pieces and their ids; what is missing is encoded."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = got = self.encoder.piece(piece)
+        return got
 
 
 @lru_cache(maxsize=2)
