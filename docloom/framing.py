@@ -39,25 +39,24 @@ def candidates(data: bytes, framing: str = AUTO, limits: ValueLimits | None = No
     try:
         if framing not in (AUTO, SINGLE, NDJSON, ARRAY_ITEMS):
             raise JsonError(INVALID_ARGUMENT, f"unknown framing {framing}")
+        if max_items == 0:
+            return
         at = skip_space(data, 0)
         if framing == AUTO:
             framing = ARRAY_ITEMS if data[at : at + 1] == b"[" else NDJSON
         if framing == ARRAY_ITEMS:
             for begin, end in _items(data, at, limits, False):
-                if max_items is not None and index >= max_items:
-                    return
                 yield row(begin, end)
                 index += 1
+                if index == max_items:
+                    return
             return
         if framing == SINGLE:
             end = end_of(data, at, limits)
             only_space_after(data, end)
-            if max_items != 0:
-                yield row(at, end)
+            yield row(at, end)
             return
-        while at < len(data):
-            if max_items is not None and index >= max_items:
-                return
+        while at < len(data) and index != max_items:
             end = end_of(data, at, limits)
             after = skip_space(data, end)
             if after == end and end < len(data):
@@ -131,11 +130,13 @@ def array_items(data: bytes, selector: str | None = "", decoder: Decoder | None
         return out
 
     try:
+        if max_items == 0:
+            return
         for span in _selected(data, selector or "", limits, decoder is None):
-            if max_items is not None and index >= max_items:
-                return
             yield row(*span)
             index += 1
+            if index == max_items:
+                return
     except JsonError as e:
         e.data = e.data or data
         yield {"index": index, "value": None, "record": None, "error": e.row()}

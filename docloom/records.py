@@ -58,7 +58,7 @@ class Decoder:
 
     def decode(self, data: bytes, base: dict | None = None) -> tuple[dict, bool]:
         """(record, truncated). base: a record whose values stay where the text has no key."""
-        if _plainly_valid(data, ValueLimits(self.limits.max_depth, max_number_bytes=1 << 20, max_key_bytes=1 << 40)):
+        if _plainly_valid(data, ValueLimits(self.limits.max_depth, 1 << 40, 1 << 20, 1 << 40)):
             self.truncated = False
             try:
                 node = _tree.decode(data.decode())

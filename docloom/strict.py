@@ -230,7 +230,7 @@ _decoder = json.JSONDecoder(parse_int=lambda s: None, parse_float=lambda s: None
 
 def _plainly_valid(data: bytes, limits: ValueLimits) -> bool:
     """Whether the C scanner accepts a text on which none of the limits can bear. False: unknown."""
-    if len(data) > limits.max_key_bytes or data.count(b"[") + data.count(b"{") > limits.max_depth or _SURROGATE.search(data):
+    if len(data) > min(limits.max_key_bytes, limits.max_string_bytes) or data.count(b"[") + data.count(b"{") > limits.max_depth or _SURROGATE.search(data):
         return False
     if limits.max_total_bytes or len(data) > limits.max_number_bytes and re.search(rb"[-+0-9.eE]{%d}" % (limits.max_number_bytes + 1), data):
         return False
