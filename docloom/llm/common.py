@@ -65,9 +65,17 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def without(df: DataFrame, names) -> DataFrame:
+    """df without columns that an operator's own would clash with (these replace them)."""
+    taken = {n.lower() for n in names}
+    return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame (the files' bytes for a scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of a frame (the files' bytes for a scan). Frames of unknown size
+    (rows from the driver or an RDD) count as 4 MB for each shuffle partition."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) << 22
 
 
 def tasks_for(df: DataFrame, bytes_per_task: int, least: int = 1) -> int:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import configure, discard, materialize, table
+from .common import configure, discard, materialize, table, without
 
 WINDOW = 3
 LEAST_WORDS = 4
@@ -102,9 +102,11 @@ def kept(text: str | None, again: list[int] | None) -> tuple[str | None, int]:
     return "".join(text[a:b] for (a, b), c in zip(spans, cover) if not c).rstrip(), int(cover.sum())
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text after removal, and n_removed (lines)."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: str = "n_removed") -> DataFrame:
+    """docs with the text after removal, and the number of lines removed in column `count`
+    (which replaces one of that name)."""
     configure(docs.sparkSession)
+    docs = without(docs, [count])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     wins = materialize(rows.mapInArrow(_window_rows, "win long, id long, twice boolean"), "op9-windows")
     first = wins.groupBy("win").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.max("twice").alias("any")).where("n > 1 or any").select("win", "first")
@@ -115,17 +117,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     again = materialize(again, "op9-again")
     discard(wins, first)
 
-    whole = docs.join(again, docs[id_col].eqNullSafe(again["id"]), "left").drop("id")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())])
+    again = again.select(F.col("id").alias("_dl_id"), F.col("_again").alias("_dl_again"))
+    whole = docs.join(again, docs[id_col].eqNullSafe(again["_dl_id"]), "left")
+    schema = T.StructType([*docs.schema.fields, T.StructField(count, T.LongType())])
     names = docs.columns
 
     def remove(batches):
         for batch in batches:
-            done = [kept(t, a) for t, a in zip(batch.column(text_col).to_pylist(), batch.column("_again").to_pylist())]
+            done = [kept(t, a) for t, a in zip(batch.column(text_col).to_pylist(), batch.column("_dl_again").to_pylist())]
             cols = [pa.array([d[0] for d in done], pa.string()) if c == text_col else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([d[1] for d in done], pa.int64())], [*names, "n_removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([d[1] for d in done], pa.int64())], [*names, count])
 
-    return whole.select(*names, "_again").mapInArrow(remove, schema)
+    return whole.select(*names, "_dl_again").mapInArrow(remove, schema)
 
 
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,9 +139,9 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without repeated windows; a document with words of which none
     remains (a later exact copy) goes, one that had none to begin with stays."""
-    out = dedup(docs)
-    gone = (F.col("n_removed") > 0) & (F.length(F.trim("text")) == 0)
+    out = dedup(docs, count="_dl_removed")
+    gone = (F.col("_dl_removed") > 0) & (F.length(F.trim("text")) == 0)
     out = out.where(~F.coalesce(gone, F.lit(False)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_dl_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -50,10 +50,10 @@ WORDS = 5
 #: Jaccard threshold as a fraction.
 NUM, DEN = 80, 100
 #: Members beyond which a bucket is large.
-LARGE = 32
+LARGE = 12
 LEVELS = 4
 #: Input bytes for each hash range of signatures.
-RANGE_BYTES = 4 << 20
+RANGE_BYTES = 16 << 20
 #: Signatures that a task holds before it sends them.
 HELD = 500_000
 
@@ -535,6 +535,6 @@ def op5_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the least doc_id stays; rows
     without a doc_id stay."""
-    keep = near_duplicates(docs).where("component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    known = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
+    keep = near_duplicates(docs).where("component_id = doc_id").select(F.col("doc_id").alias("_dl_id")).distinct()
+    known = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("_dl_id"), "left_semi")
     return known.unionByName(docs.where("doc_id is null"))

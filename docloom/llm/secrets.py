@@ -29,7 +29,7 @@ except ImportError:  # Python before 3.11
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, without
 
 
 @dataclass(frozen=True)
@@ -168,20 +168,23 @@ def _named(hits: Column, order: int, kind: str) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with `found`: array<struct<start,order,kind,end>> sorted by start, then kind."""
+    """The rows of docs with `found`: array<struct<start,order,kind,end>> sorted by start, then
+    kind. A column of that name in docs is replaced."""
+    docs = without(docs, ["found"])
     queries = {r.kind: q for r in rules if EVERY != (q := trigram_query(r.pattern)) and frozenset() not in q}
     docs = docs.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
     rows = docs
     if queries:
         grams = sorted({g for q in queries.values() for c in q for g in c})
         may = candidates(postings(docs, grams, id_col, text_col), queries)
-        rows = docs.join(may, docs[id_col].eqNullSafe(may["id"]), "left").drop("id")
+        may = may.select(F.col("id").alias("_dl_id"), *[F.col(f"maybe_{k}").alias(f"_dl_{k}") for k in queries])
+        rows = docs.join(may, docs[id_col].eqNullSafe(may["_dl_id"]), "left")
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     each = []
     for order, r in enumerate(rules):
         hits = spans(F.col(text_col), r)
         if r.kind in queries:
-            hits = F.when(F.col(f"maybe_{r.kind}") & F.regexp_like(F.col(text_col), F.lit(r.pattern)), hits).otherwise(none)
+            hits = F.when(F.col(f"_dl_{r.kind}") & F.regexp_like(F.col(text_col), F.lit(r.pattern)), hits).otherwise(none)
         else:
             hits = F.when(F.regexp_like(F.col(text_col), F.lit(r.pattern)), hits).otherwise(none)
         each.append(_named(hits, order, r.kind))

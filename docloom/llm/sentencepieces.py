@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import configure, mix, slices, table
+from .common import configure, mix, slices, table, without
 
 MARK = "▁"
 #: Distinct words that a worker remembers; the memory starts anew beyond them.
@@ -256,8 +256,10 @@ def _model(path: str) -> tuple[Model, dict]:
 
 
 def encode_decode(docs: DataFrame, model_path: str | None = None, text_col: str = "text") -> DataFrame:
-    """docs with ids array<int>, decoded string (of those ids), n_tokens and ids_crc32."""
+    """docs with ids array<int>, decoded string (of those ids), n_tokens and ids_crc32 (which
+    replace columns of these names)."""
     configure(docs.sparkSession)
+    docs = without(docs, ["ids", "decoded", "n_tokens", "ids_crc32"])
     path, names = model_path or default_model(), docs.columns
 
     def run(batches):
@@ -286,5 +288,6 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with their ids; whether these decode to the text."""
+    docs = without(docs, ["ids", "decoded", "n_tokens", "ids_crc32", "round_trip"])
     out = encode_decode(docs)
     return out.select(*docs.columns, "ids", "n_tokens", "ids_crc32", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))

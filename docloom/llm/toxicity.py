@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import configure, slices, table, text_bytes, words
+from .common import configure, slices, table, text_bytes, without, words
 
 SAMPLE = 4000
 FEATURES = 192
@@ -196,11 +196,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 
 
-def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
-    """docs with p_<category> for each category and `rejected` for the last."""
+def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """docs with p_<category> for each category and `rejected` for the last (names after a
+    prefix; they replace columns of the same names)."""
     configure(docs.sparkSession)
+    more = [T.StructField(f"{prefix}p_{n}", T.DoubleType()) for n in chain.names] + [T.StructField(f"{prefix}rejected", T.BooleanType())]
+    docs = without(docs, [f.name for f in more])
     names = docs.columns
-    more = [T.StructField(f"p_{n}", T.DoubleType()) for n in chain.names] + [T.StructField("rejected", T.BooleanType())]
 
     def run(batches):
         for batch in batches:
@@ -220,4 +222,4 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chain = train(docs, table(spark, sf_dir, "labels"), CATEGORIES)
-    return score(docs, chain).where(~F.col("rejected")).select(*docs.columns)
+    return score(docs, chain, prefix="_dl_").where(~F.col("_dl_rejected")).select(*docs.columns)
