@@ -124,7 +124,7 @@ class Chain:
         links, out_of_fold = [], None
         for k in range(len(names)):
             y = labels[:, k].astype(float)
-            if y.min(initial=1) == y.max(initial=0):
+            if not len(y) or y.min() == y.max():
                 links.append(float(y.mean()) if len(y) else 0.0)
                 out_of_fold = np.full(len(y), -30.0 if not len(y) or y.mean() < 0.5 else 30.0)
                 dense = np.column_stack([dense, out_of_fold])
