@@ -212,6 +212,50 @@ def truncate_bytes(c, most: int) -> Column:
     return F.when(F.octet_length(c) <= most, c).otherwise(F.decode(F.substring(head, F.lit(1), (F.octet_length(head) - cut).cast("int")), "UTF-8"))
 
 
+# --- record fields (Catalyst only) ------------------------------------------------------
+
+
+def status_name(c) -> Column:
+    """The name of a status number."""
+    return F.element_at(F.array(*[F.lit(s) for s in STATUSES]), col_of(c) + 1)
+
+
+def _outcome(value: Column, bad: Column, cut: Column, message: str) -> Column:
+    none = F.lit(None).cast("bigint")
+    error = F.struct(
+        F.when(bad, F.lit("overflow")).otherwise(F.lit("ok")).alias("code"), none.alias("line"), none.alias("column"), none.alias("offset"),
+        F.coalesce(cut, F.lit(False)).alias("truncated"), F.when(bad, F.lit(message)).alias("message"),
+    )
+    return F.struct(F.when(~F.coalesce(bad, F.lit(False)), value).alias("value"), error.alias("error"))
+
+
+def assign_string(c, max_bytes: int, overflow: str = "fail") -> Column:
+    """struct<value, error> of a string put into a field of fixed capacity."""
+    c = col_of(c)
+    over = F.octet_length(c) > max_bytes
+    return _outcome(truncate_bytes(c, max_bytes), over if overflow == "fail" else F.lit(False), over if overflow == "truncate" else F.lit(False), "string is longer than its capacity")
+
+
+def append_item(array, value, max_items: int | None = None, overflow: str = "fail") -> Column:
+    """struct<value, error> of an array (NULL: empty) with an item appended under a capacity."""
+    array, value = col_of(array), col_of(value)
+    grown = F.coalesce(F.array_append(array, value), F.array(value))
+    if max_items is None:
+        return _outcome(grown, F.lit(False), F.lit(False), "")
+    over = F.size(grown) > max_items
+    return _outcome(F.when(over, array).otherwise(grown), over if overflow == "fail" else F.lit(False), over if overflow == "truncate" else F.lit(False), "array is longer than its capacity")
+
+
+def present_keys(c) -> Column:
+    """Root keys of a valid object document: the presence mask for merge_record."""
+    return F.json_object_keys(col_of(c).cast("string"))
+
+
+def spilled(c, memory_limit: int = 64 << 10) -> Column:
+    """Whether a text or bytes value is larger than a spool keeps in memory."""
+    return F.octet_length(col_of(c)) > memory_limit
+
+
 # --- records ----------------------------------------------------------------------------
 
 
@@ -319,6 +363,14 @@ def encode_any(c) -> Column:
     return F.arrow_udf(run, T.StringType())(col_of(c))
 
 
+def encode_buffer(record, schema, capacity: int, overflow: str = "fail", limits: Limits | None = None) -> Column:
+    """struct<value, error, needed> of encoding into `capacity` bytes: needed is the whole size;
+    a text beyond the capacity fails or is cut."""
+    text = encode(record, schema, limits)["text"]
+    put = assign_string(text, capacity, overflow)
+    return F.struct(put["value"].alias("value"), put["error"].alias("error"), F.octet_length(text).cast("long").alias("needed"))
+
+
 # --- rewriting --------------------------------------------------------------------------
 
 

@@ -53,6 +53,20 @@ def test_strict_scalars(spark):
     assert tuple(one[:4]) == ("a", "aé", "aé漢", "aé漢😀") and tuple(one[4:8]) == (None,) * 4 and bytes(one.y) == b"AB" and one.s == 6
 
 
+def test_record_fields(spark):
+    df = spark.createDataFrame([([1, 2], "aé", '{"b":1}'), (None, "a", "{}")], "l array<long>, s string, doc string")
+    rows = df.select(
+        J.append_item("l", F.lit(3), 2).alias("fail"), J.append_item("l", F.lit(3), 2, "truncate").alias("cut"), J.append_item("l", F.lit(3)).value.alias("free"), J.assign_string("s", 2, "truncate").alias("s"),
+        J.assign_string("s", 2).error.code.alias("sf"), J.present_keys("doc").alias("keys"), J.spilled("s", 1).alias("big"), J.status_name(F.lit(5)).alias("name"),
+        J.encode_buffer(F.struct("s"), S.schema(S.string("s")), 5, "truncate").alias("buf"),
+        J.merge_record(F.struct(F.lit(1).alias("a"), F.lit(2).alias("b")), F.struct(F.lit(0).alias("a"), F.lit(9).alias("b")), J.present_keys("doc"), S.schema(S.i64("a"), S.i64("b"))).alias("merged"),
+    ).collect()
+    a, b = rows
+    assert a.fail.error.code == "overflow" and a.fail.value is None and (a.cut.value, a.cut.error.truncated) == ([1, 2], True) and a.free == [1, 2, 3]
+    assert b.fail.value == b.free == [3] and (a.s.value, a.s.error.truncated, a.sf, a.keys, a.big, a.name) == ("a", True, "overflow", ["b"], True, "duplicate_field")
+    assert a.buf.needed == 11 and a.buf.value == '{"s":' and a.buf.error.truncated and tuple(a.merged) == (1, 9) and tuple(b.merged) == (1, 2)
+
+
 def test_table_operators(docs, spark):
     rows = O.candidates(docs, "doc", ["k"]).orderBy("k", "index").collect()
     assert [(r.k, r["index"], r.error.code) for r in rows] == [(1, 0, "ok"), (2, 0, "ok"), (4, 0, "ok"), (4, 1, "invalid_json"), (5, 0, "ok")]
