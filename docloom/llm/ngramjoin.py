@@ -501,7 +501,7 @@ def _cross(batches):
 
 
 #: Bytes of packed sets on each side of a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def _group_links(star: DataFrame, members: DataFrame, comp: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:

@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_secrets": secrets.OP2_SQL,
     "op6_chat": chat.OP6_SQL,
 }

@@ -207,3 +207,28 @@ def digest(found: DataFrame) -> DataFrame:
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def _sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The digest in DuckDB: matches and the pieces between them give the positions."""
+    lists = []
+    for order, r in enumerate(rules):
+        p = "'" + r.pattern.replace("(?<![0-9a-f])", "").replace("'", "''") + "'"
+        at = "list_sum(list_transform(c[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0)"
+        one = f"{{'a': ({at})::BIGINT, 'o': {order}, 'k': '{r.kind}', 'b': ({at} + length(w[i]))::BIGINT, 'n': length(g[i])}}"
+        lists.append(
+            f"(select list_filter(list_transform(range(1, len(w) + 1), lambda i: {one}), lambda s: s.n >= {r.least}) "
+            f"from (select regexp_extract_all(t, {p}) as w, regexp_extract_all(t, {p}, {r.group}) as g, string_split_regex(t, {p}) as c))"
+        )
+    text = lambda keep: f"coalesce(array_to_string(list_transform(list_sort(list_filter(f, lambda s: {keep})), lambda s: s.k || ':' || s.a || ':' || s.b), ','), '')"
+    base = [r.kind for r in rules if r.base]
+    counts = ", ".join(f"len(list_filter(f, lambda s: s.k = '{k}'))::BIGINT as n_{k}" for k in base)
+    kinds = ", ".join(f"'{k}'" for k in base)
+    return (
+        f"with d as (select doc_id, coalesce(text, '') as t from documents), "
+        f"e as (select doc_id, {' || '.join(lists)} as f from d) "
+        f"select doc_id, {counts}, sha256({text(f's.k in ({kinds})')}) as base_sha256, {text('true')} as spans from e"
+    )
+
+
+OP2_SQL = _sql()
