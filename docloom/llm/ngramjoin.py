@@ -463,11 +463,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # small buckets that still hold several components
     mixed = member.join(comp, "key", "left").select("bucket", "key", F.coalesce("comp", "key").alias("comp"))
-    mixed = mixed.groupBy("bucket").agg(F.collect_list(F.struct("key", "comp")).alias("m"))  # at most LARGE
+    mixed = materialize(mixed, "op5-labelled")
+    several = mixed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("bucket")
+    mixed = mixed.join(several, "bucket").join(classes.select("key", "n", "sketch"), "key")
+    mixed = mixed.groupBy("bucket").agg(F.collect_list(F.struct("key", "comp", "n", "sketch")).alias("m"))  # at most LARGE
     cross = mixed.mapInArrow(_cross, "a long, b long").distinct()
     done = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = cross.join(done, ["a", "b"], "left_anti").withColumn("shared", F.lit(1).cast("long"))  # verified already
-    cross = _possible(cross, classes, "op5-cross")
+    cross = materialize(cross.join(done, ["a", "b"], "left_anti"), "op5-cross")  # verified already
     discard(member)
     more = _links(cross, _fetch(_both_keys(cross), classes, rows, repeated), "op5-more")
     _tidy(spark)
@@ -485,19 +487,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _cross(batches):
-    """Pairs of members of different components in small buckets."""
+    """Pairs of members of different components in small buckets that sizes and sketches leave."""
     for batch in batches:
-        a, b = [], []
+        pairs = set()
         for row in batch.column("m").to_pylist():
-            keys, comps = np.array([m["key"] for m in row]), np.array([m["comp"] for m in row])
-            if (comps == comps[0]).all():
-                continue
-            x, y = np.nonzero((keys[:, None] < keys[None, :]) & (comps[:, None] != comps[None, :]))
-            a.append(keys[x])
-            b.append(keys[y])
-        if a:
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+            row.sort(key=lambda m: m["key"])
+            for i, x in enumerate(row):
+                for y in row[i + 1 :]:
+                    if x["comp"] != y["comp"] and (x["key"], y["key"]) not in pairs and may_link(x["sketch"], y["sketch"], x["n"], y["n"]):
+                        pairs.add((x["key"], y["key"]))
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 #: Bytes of packed sets on each side of a block.
