@@ -18,7 +18,7 @@ from .limits import (
 from .schema import DECODE_ONLY, ENCODE_ONLY, Field, Schema
 from .strict import (
     ARRAY_BEGIN, ARRAY_END, BOOL, KEY, NULL, NUMBER, OBJECT_BEGIN, OBJECT_END, STRING,
-    _plainly_valid, _reject, compact, fail, only_space_after, quote, skip_space, unescape, validate, walk,
+    _SURROGATE, _Fast, _reject, compact, fail, only_space_after, quote, skip_space, unescape, validate, walk,
 )
 
 _INTEGER = re.compile(r"-?(?:0|[1-9][0-9]*)\Z")
@@ -53,18 +53,18 @@ class Decoder:
     def __init__(self, schema: Schema, limits: Limits | None = None):
         self.schema, self.limits = schema, limits or Limits()
         self.walk_limits = ValueLimits(self.limits.max_depth, 1 << 62, 1 << 62, 1 << 62)
-        self.fields = {f.name: f for f in schema.fields}
         self._maps: dict[int, dict] = {}
+        self._read = self._compile(schema.fields)
 
     def decode(self, data: bytes, base: dict | None = None) -> tuple[dict, bool]:
         """(record, truncated). base: a record whose values stay where the text has no key."""
-        if _plainly_valid(data, ValueLimits(self.limits.max_depth, 1 << 40, 1 << 20, 1 << 40)):
+        if data.count(b"[") + data.count(b"{") <= self.limits.max_depth and not _SURROGATE.search(data):
             self.truncated = False
             try:
                 node = _tree.decode(data.decode())
                 if type(node) is _Object:
-                    return self._assign(node, self.schema.fields, base), self.truncated
-            except JsonError:
+                    return self._read(node, base), self.truncated
+            except (ValueError, JsonError, RecursionError, _Fast):
                 pass  # again, for the position
         record, end, truncated = self.decode_at(data, 0, base)
         only_space_after(data, end)
@@ -93,41 +93,95 @@ class Decoder:
             return {f.name: zero(f) for f in fields}
         return {f.name: base.get(f.name, zero(f)) for f in fields}
 
-    # tree path
-
-    def _assign(self, pairs: _Object, fields: tuple[Field, ...], base: dict | None) -> dict:
-        out, by_name, seen = self._start(fields, base), self._map(fields), set()
-        for name, node in pairs:
-            f = by_name.get(name)
-            if f is None:
-                continue
-            if name in seen and self.limits.reject_duplicate_keys:
-                raise JsonError(DUPLICATE_FIELD, f"duplicate field {name}")
-            seen.add(name)
-            out[name] = self._node(f, node, base and base.get(name))
-        self._required(fields, seen, None)
-        return out
-
-    def _node(self, f: Field, node, base=None):
+    # tree path: one reader for each object type, built once
+
+    def _compile(self, fields: tuple[Field, ...]):
+        """A function (pairs, base) -> record for an object of these fields."""
+        readers = {f.name: self._reader(f) for f in fields}
+        zeros = [(f.name, zero(f)) for f in fields]
+        plain = {n: z for n, z in zeros if not isinstance(z, (dict, list))}
+        fresh = [f for f in fields if f.name not in plain]
+        required = [f for f in fields if f.required]
+        strict = self.limits.reject_duplicate_keys
+
+        def read(pairs, base=None):
+            out = dict(plain)
+            for f in fresh:
+                out[f.name] = zero(f)
+            if base is not None:
+                out.update((k, v) for k, v in base.items() if k in out)
+            seen = set()
+            for name, node in pairs:
+                one = readers.get(name)
+                if one is None:
+                    continue
+                if strict and name in seen:
+                    raise JsonError(DUPLICATE_FIELD, f"duplicate field {name}")
+                seen.add(name)
+                out[name] = one(node, base and base.get(name))
+            for f in required:
+                if f.name not in seen:
+                    raise JsonError(MISSING_REQUIRED_FIELD, f"missing required field {f.name}")
+            return {f.name: out[f.name] for f in fields}
+
+        return read
+
+    def _reader(self, f: Field):
+        """A function (node, base) -> value for one field."""
         kind = f.kind
         if kind == "json_value":
-            return _dump(node)
-        if node is None:
-            return self._scalar(f, NULL, None, None)
+            return lambda node, base=None: _value_text(node, self.limits)
         if kind == "object":
-            if type(node) is not _Object:
+            read = self._compile(f.fields)
+
+            def one(node, base=None):
+                if type(node) is _Object:
+                    return read(node, base)
+                if node is None:
+                    return zero(f)
                 raise self._mismatch(f, None)
-            return self._assign(node, f.fields, base)
+
+            return one
         if kind.endswith(("_array", "_items")):
-            if type(node) is not list:
-                raise self._mismatch(f, None)
-            item, out = f.item, []
-            for x in node:
-                if x is None or type(x) is list:
+            item = self._reader(f.item)
+
+            def many(node, base=None):
+                if node is None:
+                    return []
+                if type(node) is not list:
                     raise self._mismatch(f, None)
-                if self._room(f, out, None):
-                    out.append(self._node(item, x))
-            return out
+                out = []
+                for x in node:
+                    if x is None or type(x) is list:
+                        raise self._mismatch(f, None)
+                    v = item(x)
+                    if self._room(f, out, None):
+                        out.append(v)
+                return out
+
+            return many
+        if kind == "string" and f.max_bytes is None:
+            most = self.limits.max_dynamic_string_bytes
+
+            def string(node, base=None):
+                if type(node) is str and "\0" not in node and len(node) * 4 <= most:
+                    return node
+                return self._any(f, node)
+
+            return string
+        if kind == "i64":
+
+            def integer(node, base=None):
+                if type(node) is _Number and len(node) < 19 and (node.isdigit() or _INTEGER.match(node)):
+                    return int(node)
+                return self._any(f, node)
+
+            return integer
+        return lambda node, base=None: self._any(f, node)
+
+    def _any(self, f: Field, node):
+        if node is None:
+            return self._scalar(f, NULL, None, None)
         if type(node) is _Number:
             return self._scalar(f, NUMBER, node, None)
         if type(node) is str:
@@ -272,6 +326,12 @@ class Decoder:
         return raw.decode("utf-8", "replace")
 
 
+def _value_text(node, limits: Limits) -> str:
+    text = _dump(node)
+    validate(text.encode("utf-8", "surrogatepass"), limits.value)
+    return text
+
+
 def _dump(node) -> str | None:
     """Canonical text of a tree, numbers as they stood."""
     if type(node) is _Number:
