@@ -21,6 +21,7 @@ from .strict import (
     _SURROGATE, _Fast, _reject, compact, fail, only_space_after, quote, skip_space, unescape, validate, walk,
 )
 
+_QUOTED_TEXT = re.compile('["\\\\\x00-\x1f\ud800-\udfff]')
 _INTEGER = re.compile(r"-?(?:0|[1-9][0-9]*)\Z")
 _BASE64 = re.compile(rb"(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\Z")
 #: Limits of the mapped path: its own depth and string rules apply instead.
@@ -382,7 +383,7 @@ class Encoder:
             v = record.get(f.name)
             if v is None and f.presence or f.omit and not f.required and self.empty(f, v):
                 continue
-            parts.append(quote(f.name.encode()).decode() + colon + self._value(f, v, depth + 1))
+            parts.append(f.label + colon + self._value(f, v, depth + 1))
         return self._wrap(parts, "{}", depth)
 
     def empty(self, f: Field, v) -> bool:
@@ -405,6 +406,8 @@ class Encoder:
         if v is None:
             return {"i64": "0", "u64": "0", "f64": "0", "bool": "false"}.get(kind, "null")
         if kind in ("string", "text_stream", "text_source"):
+            if not _QUOTED_TEXT.search(v):
+                return f'"{v}"'
             return quote(v.encode("utf-8", "surrogatepass")).decode("utf-8", "replace")
         if kind in ("bytes_stream", "bytes_source"):
             return '"' + base64.b64encode(bytes(v)).decode() + '"'

@@ -11,6 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import types as T
 
 from .limits import INVALID_ARGUMENT, JsonError
+from .strict import quote
 
 U64 = T.DecimalType(20, 0)
 
@@ -69,7 +70,20 @@ class Field:
     @property
     def item(self) -> Field:
         """The field of an array's items."""
-        return replace(self, kind=ARRAYS[self.kind], required=False, omit="", max_items=None)
+        got = self.__dict__.get("_item")
+        if got is None:
+            got = replace(self, kind=ARRAYS[self.kind], required=False, omit="", max_items=None)
+            object.__setattr__(self, "_item", got)  # kept: it is asked for once a record
+        return got
+
+    @property
+    def label(self) -> str:
+        """The key as a JSON string."""
+        got = self.__dict__.get("_label")
+        if got is None:
+            got = quote(self.name.encode("utf-8", "surrogatepass")).decode("utf-8", "replace")
+            object.__setattr__(self, "_label", got)
+        return got
 
     def type(self) -> T.DataType:
         if self.kind in SCALARS:
