@@ -197,11 +197,11 @@ class Folder:
         self.now, self.seen, self.pages = None, set(), 0
 
     def add(self, items: list, pages: int = 1) -> None:
-        key = json.dumps(items)
+        key = hash(json.dumps(items))
         self.pages += pages
         if key in self.seen:
             return
-        if len(self.seen) < 4096:
+        if len(self.seen) < 512:
             self.seen.add(key)
         self.now = items if self.now is None else align(self.now, items)
 
