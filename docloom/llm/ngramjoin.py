@@ -370,24 +370,32 @@ def _tidy(spark: SparkSession) -> None:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(key, comp) of the vertices of edges (a, b): least labels of neighbours, with pointer
-    jumping; every round is a written table. Ends when no label changes."""
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "op5-edges")
-    now = materialize(both.groupBy(F.col("a").alias("key")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), "op5-labels")
+    """(key, comp) of the vertices of edges (a, b). Each round points every vertex at its least
+    neighbour, follows the pointers to their ends and contracts the edges to those; rounds
+    and steps are written tables. Ends when no edge is left between two labels."""
+    now, total = materialize(edges.where("a != b").select("a", "b").distinct(), "op5-edges"), None
     while True:
-        label = now.select(F.col("key").alias("b"), F.col("comp").alias("near"))
-        near = both.join(label, "b").groupBy(F.col("a").alias("key")).agg(F.min("near").alias("near"))
-        step = now.join(near, "key", "left").select("key", "comp", F.least("comp", "near").alias("least"))
-        jump = now.select(F.col("key").alias("least"), F.col("comp").alias("far"))
-        step = step.join(jump, "least", "left").select("key", F.least("least", "far").alias("comp"), (F.least("least", "far") != F.col("comp")).alias("moved"))
-        new = materialize(step, "op5-labels")
-        moved = new.where("moved").limit(1).count()
-        discard(now)
-        now = new.select("key", "comp")
-        now._docloom_path = new._docloom_path
-        if not moved:
-            discard(both)
-            return now
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = materialize(both.groupBy(F.col("a").alias("key")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), "op5-labels")
+        while True:
+            far = up.select(F.col("key").alias("comp"), F.col("comp").alias("far"))
+            step = materialize(up.join(far, "comp").select("key", F.col("far").alias("comp"), (F.col("far") != F.col("comp")).alias("moved")), "op5-labels")
+            moved = step.where("moved").limit(1).count()
+            discard(up)
+            up = step.select("key", "comp")
+            up._docloom_path = step._docloom_path
+            if not moved:
+                break
+        if total is None:
+            total = up
+        else:
+            new = total.join(up.select(F.col("key").alias("comp"), F.col("comp").alias("new")), "comp", "left")
+            total = materialize(new.select("key", F.coalesce("new", "comp").alias("comp")), "op5-labels")
+        for side in ("a", "b"):
+            now = now.join(up.select(F.col("key").alias(side), F.col("comp").alias(f"{side}_comp")), side)
+        now = materialize(now.where("a_comp != b_comp").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct(), "op5-edges")
+        if not now.limit(1).count():
+            return total
 
 
 def _pairs_with(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
