@@ -258,6 +258,25 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     check_components(spark, rows)
 
 
+def test_components(spark):
+    rng = random.Random(0)
+    edges = [(rng.randrange(60) - 30, rng.randrange(60) - 30) for _ in range(35)] + [(i, i + 1) for i in range(100, 130)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    got = {r.key: r.comp for r in ngramjoin.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
+    assert ngramjoin.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_signatures_meet():
     """Linked sets share a signature of one slot, whatever their sizes."""
     rng = np.random.default_rng(4)
