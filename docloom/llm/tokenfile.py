@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
 from array import array
 from functools import lru_cache
@@ -97,7 +98,8 @@ class EliasFano:
 # A run of white space gives its last space to the next word, as the tokenizer's own pattern
 # does. Latin letters before plain punctuation or white space end a pre-token, so that words
 # are remembered without their punctuation.
-_PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,;:!?]|\Z)| ?\S+|\s+(?!\S)|\s")
+_ONCE = "+" if sys.version_info >= (3, 11) else ""  # no backtracking into a word
+_PIECE = re.compile(rf" ?[A-Za-zÀ-ÖØ-öø-ÿ]+{_ONCE}(?=[\s.,;:!?]|\Z)| ?\S+|\s+(?!\S)|\s")
 #: Characters on which Python and the tokenizer differ about white space.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
