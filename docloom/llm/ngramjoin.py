@@ -486,8 +486,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if more.limit(1).count():
         comp = components(link.union(more))
 
-    least = comp.join(classes.select("key", "rep"), "key").groupBy("comp").agg(F.min("rep").alias("component_id"))
-    final = classes.select("key", "rep").join(comp, "key", "left").join(least, "comp", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
+    # a component may hold a third of all classes: both sides of the join on it are plain tables
+    least = materialize(comp.join(classes.select("key", "rep"), "key").groupBy("comp").agg(F.min("rep").alias("component_id")), "op5-least")
+    named = comp.join(least, "comp").select("key", "component_id")
+    final = classes.select("key", "rep").join(named, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
     final = materialize(final, "op5-final")
     out = info.drop("sketch").join(final, "key", "left")
     mine = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
