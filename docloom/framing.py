@@ -237,7 +237,7 @@ class SseState:
     """The event being built; it does not outlive a blank line."""
 
     def __init__(self):
-        self.event, self.id, self.data, self.retry, self.pending = b"", b"", None, None, False
+        self.event, self.id, self.data, self.retry, self.pending, self.late = b"", b"", None, None, False, False
 
     def line(self, line: bytes, limits: SseLimits) -> dict | None:
         """Take one line; the event that it completes, if any."""
@@ -254,7 +254,7 @@ class SseState:
             self.data = value if self.data is None else self.data + b"\n" + value
             self.pending = True
         elif name == b"event":
-            self.event, self.pending = value, True
+            self.event, self.pending, self.late = value, True, self.late or self.data is not None
         elif name == b"id" and b"\0" not in value:
             self.id, self.pending = value, True
         elif name == b"retry" and value.isdigit() and int(value) < 1 << 64:
@@ -265,12 +265,12 @@ class SseState:
         if not self.pending:
             return None
         data = self.data or b""
-        out = {"event": _text(self.event), "id": _text(self.id), "data": _text(data), "data_len": len(data), "retry_ms": self.retry, "has_retry": self.retry is not None, "has_data": self.data is not None}
+        out = {"event": _text(self.event), "id": _text(self.id), "data": _text(data), "data_len": len(data), "retry_ms": self.retry, "has_retry": self.retry is not None, "has_data": self.data is not None, "late_event": self.late}
         self.__init__()
         return out
 
 
-_NO_SSE = {"event": None, "id": None, "data": None, "data_len": None, "retry_ms": None, "has_retry": None, "has_data": None}
+_NO_SSE = {"event": None, "id": None, "data": None, "data_len": None, "retry_ms": None, "has_retry": None, "has_data": None, "late_event": None}
 
 
 def sse_events(data: bytes, limits: SseLimits | None = None) -> Iterator[dict]:

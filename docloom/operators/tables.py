@@ -26,7 +26,7 @@ BATCH = 4096
 CANDIDATE = struct_type(index="bigint", stream_offset="bigint", byte_size="bigint", payload="string", error=ERROR)
 EVENT = struct_type(seq="bigint", event="string", depth="int", text="string", path="array<string>", error=ERROR)
 LEAF = struct_type(seq="bigint", path="array<string>", type="string", text="string", error=ERROR)
-SSE = struct_type(seq="bigint", event="string", id="string", data="string", data_len="bigint", retry_ms="decimal(20,0)", has_retry="boolean", has_data="boolean", error=ERROR)
+SSE = struct_type(seq="bigint", event="string", id="string", data="string", data_len="bigint", retry_ms="decimal(20,0)", has_retry="boolean", has_data="boolean", late_event="boolean", error=ERROR)
 PART = struct_type(seq="bigint", name="string", content_type="string", content_length="bigint", headers=T.ArrayType(struct_type(name="string", value="string")), body="binary", error=ERROR)
 CHUNK = struct_type(chunk_no="bigint", bytes="binary", eof="boolean")
 ITEM = struct_type(index="bigint", value="string", error=ERROR)
@@ -112,7 +112,8 @@ def json_leaves(df: DataFrame, doc: str, keep: list[str] = (), limits: Limits |
 
 
 def sse_events(df: DataFrame, doc: str, keep: list[str] = (), limits: Limits | None = None) -> DataFrame:
-    """seq, event, id, data, data_len, retry_ms, has_retry, has_data, error of each event."""
+    """seq, event, id, data, data_len, retry_ms, has_retry, has_data, late_event (its name came
+    after its data), error of each event."""
     sse = (limits or Limits()).sse
     return expand(df, doc, list(keep), SSE, lambda d: framing.sse_events(d, sse))
 
@@ -126,6 +127,8 @@ def sse_json(df: DataFrame, doc: str, keep: list[str] = (), schema=None, event_n
     sse = sse_events(df, doc, keep, limits)
     chosen = sse.where((F.col("error.code") != "ok") | F.col("has_data"))
     if event_names is not None:
+        late = F.col("error").withField("code", F.lit(INVALID_ARGUMENT)).withField("message", F.lit("an event's name came after its data"))
+        chosen = chosen.withColumn("error", F.when(F.col("late_event"), late).otherwise(F.col("error")))
         chosen = chosen.where((F.col("error.code") != "ok") | F.col("event").isin(list(event_names)))
     got = decode("data", schema, limits) if schema is not None else canonical_json("data", "reescape", limits)
     value = "value" if schema is not None else "text"

@@ -206,13 +206,13 @@ class SseSplitter:
 
     def save(self) -> tuple[str, bytes]:
         s = self.state
-        text = [s.event.decode("latin-1"), s.id.decode("latin-1"), None if s.data is None else s.data.decode("latin-1"), s.retry, s.pending]
+        text = [s.event.decode("latin-1"), s.id.decode("latin-1"), None if s.data is None else s.data.decode("latin-1"), s.retry, s.pending, s.late]
         return json.dumps(text), self.held
 
     def load(self, text: str, held: bytes) -> None:
-        s, (event, id_, data, retry, pending) = self.state, json.loads(text)
+        s, (event, id_, data, retry, pending, late) = self.state, json.loads(text)
         s.event, s.id, s.data = event.encode("latin-1"), id_.encode("latin-1"), None if data is None else data.encode("latin-1")
-        s.retry, s.pending, self.held = retry, pending, held
+        s.retry, s.pending, s.late, self.held = retry, pending, late, held
 
 
 def _push(df: DataFrame, key: str, chunk: str, order: str, make, row, fields: str, last: str | None) -> DataFrame:

@@ -79,6 +79,16 @@ def test_table_operators(docs, spark):
     assert spark.sql("select count(*) from lateral json_candidates('1 2 3')").first()[0] == 3
 
 
+def test_sse_json_names(spark):
+    body = 'event: keep\ndata: {"id":1}\n\nevent: skip\ndata: {"id":2}\n\ndata: {"id":3}\nevent: keep\n\nretry: 5\n\ndata: {"id":4}\n\nevent: keep\ndata: {"id":"x"}\n\n'
+    df = spark.createDataFrame([(1, body)], "k long, doc string")
+    got = [(r.record and r.record.id, r.error.code) for r in O.sse_json(df, "doc", ["k"], ITEM, ["keep"]).orderBy("seq").collect()]
+    assert got == [(1, "ok"), (None, "invalid_argument"), (None, "type_mismatch")]
+    assert [r.record and r.record.id for r in O.sse_json(df, "doc", ["k"], ITEM, [""]).where("error.code = 'ok'").collect()] == [4]
+    free = O.sse_json(df, "doc", ["k"]).orderBy("seq").collect()
+    assert [r.record for r in free] == ['{"id":1}', '{"id":2}', '{"id":3}', '{"id":4}', '{"id":"x"}']
+
+
 def test_rewrites_on_columns(docs):
     got = by_key(docs.select("k", J.value_rewrite_many("doc", [("q.0", "replace", F.lit("7")), ("label", "drop", None), ("n.m", "replace", '"z"')]).alias("r")))
     assert got[1].r.text == '{"id":1,"q":[7,2],"n":{"m":"z"}}' and got[4].r.error.code == "invalid_json"
