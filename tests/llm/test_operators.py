@@ -425,6 +425,30 @@ def test_lines_partition_the_text():
         assert "".join(t[a:b] for a, b in linededup.lines(t)) == t
 
 
+def test_passages_inside_sentences(spark):
+    """Passages of 51 words whose ends lie inside sentences hold a window wherever they stand."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for k in range(60):
+        words = prose(rng, 51, rng.choice((9, 17, 100))).split(" ")
+        for side in (0, 1):
+            before, after = (prose(rng, rng.randint(1, 25), rng.choice((4, 100))) for _ in range(2))
+            rows.append((2 * k + side, f"{before} {' '.join(words)} {after}"))
+        want[2 * k + 1] = (before, after)
+    got = {r.doc_id: r for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        if i % 2 == 0:
+            assert (got[i].n_removed, got[i].text) == (0, text)
+        else:
+            before, after = want[i]
+            assert got[i].n_removed >= 3 and len(got[i].text.split()) <= len(text.split()) - 12
+            assert got[i].text.startswith(before) and got[i].text.endswith(after[-1])
+    for text in ("la " * 5000, "a b c d e " * 900, "\n ", "x İ y " * 50, "Σ" * 9 + " ΟΣ b. c\u2003d \U0001f600 e"):
+        spans = linededup.lines(text)
+        assert "".join(text[a:b] for a, b in spans) == text
+        assert all(4 <= len(text[a:b].split()) <= 7 for a, b in spans[:-1])
+
+
 # --- op 10 ------------------------------------------------------------------------------
 
 
