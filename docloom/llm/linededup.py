@@ -12,8 +12,8 @@ wherever they stand). Inside a sentence, lines also end by content: places are t
 ascending hash of the two words around them, each at least four words from every end taken
 before, until no place is left. So a line has four to seven words (only a text's last may
 have fewer), and where a line ends depends on few words around it: a passage of over 50
-words is cut alike beyond its margins and holds a window, although it begins and ends
-did not), although it ends inside sentences. A window holds twelve words or more, and stock
+words holds a window although it begins and ends inside sentences (all of 4,000 random
+passages of 51 words did). A window holds twelve words or more, and chance repeats of stock
 phrases stay. Words are compared without regard to case and white space.
 
 The plan: (window, doc_id) rows, once per document, are counted with a combine before the
@@ -28,8 +28,6 @@ doc_id come after all others. Columns pass through.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +38,11 @@ from .common import configure, discard, materialize, mix, powers, slices, table,
 
 WINDOW = 3
 LEAST_WORDS = 4
+#: Text bytes whose lines are found at once; their arrays fit the caches.
+PART_BYTES = 1 << 18
 
-_END = re.compile(r"[.!?。！？।؟]+[\"'”’)\]]*\s+|\s*\n\s*")
+#: Characters that end a sentence, and those that may follow them in the same word.
+_STOP, _CLOSER = (np.isin(np.arange(1 << 16), [ord(c) for c in some]) for some in (".!?。！？।؟", "\"'”’)]"))
 _SPACE = np.array([chr(c).isspace() for c in range(1 << 16)])
 _CODE = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1))
 _NEVER = np.uint64(2**64 - 1)
@@ -59,18 +60,27 @@ def _starts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(head), on
 
 
-def _word_hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words begin, their hashes, and the words before which a line feed or a sentence ends."""
     begin, on = _starts(codes)
     if not len(begin):
-        return begin, np.zeros(0, np.uint64)
+        return begin, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.flatnonzero(on)
     k = np.searchsorted(at, begin)
-    pos = at - np.repeat(begin, np.diff(np.append(k, len(at))))
+    size = np.diff(np.append(k, len(at)))
+    pos = at - np.repeat(begin, size)
     c = codes[at]
     value = _CODE[np.minimum(c, 0xFFFF)]
     if (wide := c > 0xFFFF).any():
         value[wide] = mix(c[wide].astype(np.uint64) + np.uint64(1))
-    return begin, mix(np.add.reduceat(value * powers(int(pos.max()) + 1)[pos], k))
+    h = mix(np.add.reduceat(value * powers(int(pos.max()) + 1)[pos], k))
+    last = begin + size - 1
+    look = np.minimum(codes[last], 0xFFFF)
+    while len(back := np.flatnonzero(_CLOSER[look] & (last > begin))):
+        last[back] -= 1
+        look[back] = np.minimum(codes[last[back]], 0xFFFF)
+    ends = [np.flatnonzero(_STOP[look]) + 1, np.searchsorted(begin, np.flatnonzero(codes == 10))]
+    return begin, h, np.unique(np.concatenate(ends))
 
 
 def _inner(rank: np.ndarray, fixed: np.ndarray, least: int) -> np.ndarray:
@@ -109,19 +119,15 @@ def layout(texts: list[str], least: int = LEAST_WORDS) -> tuple[np.ndarray, np.n
     size = np.array([len(t) for t in texts], np.int64)
     off = np.append(0, np.cumsum(size + 1))
     low = joined.lower()
-    begin, h = _word_hashes(_codes(low))
+    begin, h, ends = _words(_codes(low))
     if len(low) != len(joined):  # one letter has a longer lower case; its words are the same
         begin = _starts(_codes(joined))[0]
     word = np.searchsorted(begin, off)
-    fixed = [word]
-    for i, text in enumerate(texts):
-        if ends := [m.end() for m in _END.finditer(text)]:
-            at = np.searchsorted(begin, np.array(ends, np.int64) + off[i])
-            fixed.append(at[(np.diff(at, prepend=word[i]) >= least) & (at < word[i + 1])])
-    ends = np.unique(np.concatenate(fixed))
+    ends = np.union1d(ends, word)
+    hard = np.setdiff1d(ends[1:][np.diff(ends) >= least], word)
     rank = h.copy()
     rank[1:] = mix(h[:-1] * powers(1)[0] + h[1:])
-    cuts = np.concatenate([*fixed[1:], _inner(rank, ends, least)])
+    cuts = np.append(hard, _inner(rank, np.union1d(hard, word), least))
     at = np.sort(np.concatenate([off[:-1][size > 0], begin[cuts]]))
     first = np.searchsorted(at, off)
     head = np.searchsorted(begin, at)
@@ -153,7 +159,7 @@ def windows(h: np.ndarray, size: int = WINDOW) -> np.ndarray:
 def _window_rows(batches):
     """(window, id, twice) once per document; twice: it comes more than once in this document."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", PART_BYTES):
             _, h, first = layout([t or "" for t in part.column("text").to_pylist()])
             win, of = windows(h), np.repeat(np.arange(part.num_rows), np.diff(first))
             own = of[: len(win)] == of[WINDOW - 1 :]
@@ -222,7 +228,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count
 
     def remove(batches):
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, PART_BYTES):
                 done = _kept_all(part.column(text_col).to_pylist(), part.column("_dl_again").to_pylist())
                 cols = [pa.array([d[0] for d in done], pa.string()) if c == text_col else part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([d[1] for d in done], pa.int64())], [*names, count])
