@@ -26,6 +26,7 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -43,10 +44,17 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
 #: Elements that are page furniture by name.
 _FURNITURE = frozenset("nav footer aside form button select dialog menu head svg canvas audio video object".split())
-#: Words of class, id or role that mark page furniture.
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|notices|alert|popup|modal|newsletter|subscribe|signup|nav|navbar|navigation|menu|"
-    r"breadcrumb\w*|sidebar|side|widget\w*|footer|header|masthead|related|share|social|comment|comments|respond|reply|replies|disqus|toolbar|pagination|pager|skip|login|search)(?:$|[\s_-]|\d)", re.I)
+#: Class names, ids and roles that mark page furniture: whole names, each of whose parts is a word
+#: of furniture or a neutral one ("cookie-notice", "site-header", but not "has-sidebar").
+_WORD = (
+    r"(?:ad|ads|advert[a-z0-9]*|sponsor[a-z0-9]*|promo[a-z0-9]*|banner|cookie[a-z0-9]*|consent|notice|notices|alert|popup|modal|newsletter|subscribe|signup|nav|navbar|navigation|menu|"
+    r"breadcrumb[a-z0-9]*|sidebar|side|widget[a-z0-9]*|footer|header|masthead|related|share|social|comment|comments|respond|reply|replies|disqus|toolbar|pagination|pager|skip|login|search)\d*")
+_NEUTRAL = (
+    r"(?:site|page|global|main|primary|secondary|top|bottom|area|areas|list|lists|item|items|box|boxes|bar|block|container|wrapper|wrap|holder|inner|outer|panel|section|slot|unit|"
+    r"button|buttons|btn|icon|icons|link|links|form|field|input|label|title|heading|media|network|networks|tools|posts|articles|stories|content|text|to|the|js|\d+)")
+_MARKED = re.compile(rf"(?:^|\s)(?:{_NEUTRAL}[_-]+)*{_WORD}(?:[_-]+(?:{_WORD}|{_NEUTRAL}))*[_-]*(?:$|\s)", re.I)
+#: Elements that their marks never make furniture.
+_WHOLE = frozenset("html body main article".split())
 _CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?:$|[\s_-])", re.I)
 
 
@@ -225,41 +233,63 @@ def _paths(items: list, path: list, out: list, repeated: bool) -> None:
             _paths(item[1], path, out, repeated or kind == "+")
 
 
+@lru_cache(maxsize=1 << 14)
 def _furniture(step: str) -> bool:
     name, _, mark = step.partition(" ")
-    return name in _FURNITURE or bool(mark and _MARKED.search(mark))
+    return name in _FURNITURE or bool(mark and name not in _WHOLE and _MARKED.search(mark))
 
 
-def content_root(items: list) -> str:
-    """The step of the element that holds the article, e.g. "article" or "div post"; "" for the body."""
-    texts: list = []
-    _paths(items, [], texts, False)
+def _candidates(texts: list, reach: bool) -> tuple[dict[str, float], dict[str, float]]:
+    """Score and worth of the steps; reach: furniture around a step does not count against it."""
     score: dict[str, float] = {}
+    total: dict[str, float] = {}
     for path, slot, repeated, link in texts:
-        if any(_furniture(p) for p in path):
+        last = max((d for d, p in enumerate(path) if _furniture(p)), default=-1)
+        if last >= 0 and not reach:
             continue
         worth = (4.0 if slot else 0.5) * (2.0 if repeated else 1.0) * (0.1 if link else 1.0)
         for depth, step in enumerate(path):
             name, _, mark = step.partition(" ")
-            if name in ("html", "body", "p", "li", "ul", "ol", "a", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "td", "tr", "table", "tbody"):
+            if depth <= last or name in ("html", "body", "p", "li", "ul", "ol", "a", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "td", "tr", "table", "tbody"):
                 continue
             sort = 1e6 if name == "article" else 1e5 if name == "main" else 1e3 if mark and _CONTENT.search(mark) else 1.0
             score[step] = max(score.get(step, 0), sort) + worth + depth * 1e-3
-    return max(sorted(score), key=score.get, default="")
+            total[step] = total.get(step, 0) + worth
+    return score, total
 
 
-def extract(html: str | None, root: str) -> str:
-    """The text below elements of the root step, without page furniture."""
+def content_root(items: list) -> str:
+    """The step of the element that holds the article, e.g. "article" or "div post"; "" for the body.
+    What looks like furniture but encloses all there is, or an article or main element that is
+    worth more than the rest, does not count as furniture."""
+    texts: list = []
+    _paths(items, [], texts, False)
+    score, total = _candidates(texts, False)
+    best = max(sorted(score), key=score.get, default="")
+    if best.split(" ")[0] not in ("article", "main") and any(_furniture(p) for path, *_ in texts for p in path):
+        # elements such as nav and footer hold no article by their name
+        inside = [t for t in texts if not any(p.split(" ")[0] in _FURNITURE for p in t[0])]
+        wide, worth = _candidates(inside, True)
+        other = max(sorted(wide), key=wide.get, default="")
+        if other and (not best or (other.split(" ")[0] in ("article", "main") and worth[other] > total[best])):
+            return other
+    return best
+
+
+def extract(html: str | None, root: str | None) -> str:
+    """The text below elements of the root step, without page furniture; the page's own wrapper
+    decides where there is no root or it leads to no text."""
     if not html:
         return ""
-    got = _read(html, root)
-    if not got and root:
+    got = "" if root is None else _read(html, root) or _read(html, root, True)
+    if not got and root != "":
         own = content_root(wrapper(html))
-        got = _read(html, own) if own != root else ""
+        got = (_read(html, own) or _read(html, own, True)) if own != root else ""
     return got
 
 
-def _read(html: str, root: str) -> str:
+def _read(html: str, root: str, reach: bool = False) -> str:
+    """reach: marks of elements around the root do not make them furniture."""
     stack: list[tuple[str, bool, bool]] = []  # name, inside the root, inside furniture
     blocks, now = [], []
     inside, skip = not root, False
@@ -289,7 +319,7 @@ def _read(html: str, root: str) -> str:
             step = f"{name} {re.sub(r'[0-9]+', '0', mark)}".strip()
             if root and step == root:
                 inside = True
-            if _furniture(step) and step != root:
+            if step != root and _furniture(step) and (inside or not reach or name in _FURNITURE):
                 skip = True
         else:
             for k in range(len(stack) - 1, -1, -1):

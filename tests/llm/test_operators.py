@@ -178,6 +178,25 @@ def test_wrappers_align():
     assert htmltext.content_root(both) == "div post"
 
 
+def test_html_modifier_classes(spark):
+    """Classes that only mention furniture empty no page, on whatever element they are."""
+    classes = ["single no-sidebar", "has-sidebar", "right-sidebar", "post comments-open", "sticky-header", "search-result", "header", "sidebar widget", "comment"]
+    shapes = [
+        '<body class="%s"><article><h1>Head %d</h1><p>The story of today.</p></article><div class="ad">Buy</div></body>',
+        '<body><div class="%s"><article class="post"><h1>Head %d</h1><p>The story of today.</p></article></div><div class="x">Hi</div></body>',
+        '<body><article class="%s"><h1>Head %d</h1><p>The story of today.</p><div class="site-footer">Foot</div></article><div class="cookie-notice">We</div></body>',
+        '<body><main class="%s"><h1>Head %d</h1><p>The story of today.</p></main><div id="comments">Me too</div></body>',
+        '<body><div class="%s"><div class="post"><h1>Head %d</h1><p>The story of today.</p></div></div></body>',
+    ]
+    rows = [(1000 * k + n, f"http://h{k}-{j}.org/{n}", shape % (c, 1000 * k + n)) for k, shape in enumerate(shapes) for j, c in enumerate(classes) for n in range(10 * j, 10 * j + 3)]
+    for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text == f"Head {r.page_id}\nThe story of today.", (r, [h for i, _, h in rows if i == r.page_id])
+    for mark in ("ad", "ads", "nav-menu", "site-header", "cookie-notice", "comment-list", "comments", "related-posts", "widget-area", "x ad y", "ad-300", "share-buttons"):
+        assert htmltext._furniture(f"div {mark}"), mark
+    for mark in classes[:6] + ["entry-header", "broadside", "post-login-tips", "ad-hoc"]:
+        assert not htmltext._furniture(f"div {mark}"), mark
+
+
 # --- op 4 -------------------------------------------------------------------------------
 
 
