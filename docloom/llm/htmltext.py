@@ -6,8 +6,10 @@ one after another: texts that differ become slots, tags that only some pages hav
 optional groups, and repeats are folded again after each step, until the wrapper accepts
 all pages of the host. From the wrapper the content root is chosen: the element whose slots
 and repeated groups hold the article (an article or main element where the wrapper has one,
-otherwise the container with most text outside links and page furniture), which is then
-read from every page of the host.
+otherwise the container with most text outside links and page furniture, or the whole body
+where blocks of content lie beside that container), which is then read from every page of
+the host. The wrapper decides no more than this root: below it, all text is read but that of
+elements whose name or mark is furniture.
 
 The plan: each task folds its pages by host into partial wrappers; equal wrappers are
 counted together before the shuffle; a host's remaining wrappers are merged in two rounds
@@ -16,7 +18,7 @@ The resulting rules (a few bytes a host) are broadcast when their measured size
 and joined by shuffle beyond it.
 
 Defined results: null or empty html gives empty text; rows without a url share one host "";
-pages whose host's root is missing fall back to the page's own wrapper; repeated rows each
+pages whose host has no root, or whose root leads to no text, fall back to the page's own wrapper; repeated rows each
 keep their row. White space in a block becomes one space; br is white space; blocks without
 text vanish.
 """
@@ -273,7 +275,18 @@ def content_root(items: list) -> str:
         other = max(sorted(wide), key=wide.get, default="")
         if other and (not best or (other.split(" ")[0] in ("article", "main") and worth[other] > total[best])):
             return other
-    return best
+    return "" if _beside(texts, best) else best
+
+
+def _beside(texts: list, best: str) -> bool:
+    """Whether `best`, not an article or main element, lies directly below body with other blocks of
+    content beside it, so that only body holds the whole article."""
+    if not best or best.split(" ")[0] in ("article", "main"):
+        return False
+    below = [(tuple(p for p in path if p.split(" ")[0] not in ("html", "body")), slot and not link) for path, slot, _, link in texts if not any(_furniture(p) for p in path)]
+    tops = {path[0] for path, _ in below if best in path}
+    blocks = ("p", "div", "section", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6")
+    return tops == {best} and any(content and path and path[0] != best and path[0].split(" ")[0] in blocks for path, content in below)
 
 
 def extract(html: str | None, root: str | None) -> str:
@@ -401,7 +414,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     size = rules.agg(F.sum(F.length("host") + F.length("root") + 48)).first()[0] or 0
     rules = F.broadcast(rules) if size <= BROADCAST_BYTES else rules
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
-    rows = pages.select("page_id", "url", "html", host.alias("host")).join(rules, "host", "left").select("page_id", "url", "html", F.coalesce("root", F.lit("")).alias("root"))
+    rows = pages.select("page_id", "url", "html", host.alias("host")).join(rules, "host", "left").select("page_id", "url", "html", "root")
 
     def run(batches):
         for batch in batches:

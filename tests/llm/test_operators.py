@@ -197,6 +197,17 @@ def test_html_modifier_classes(spark):
         assert not htmltext._furniture(f"div {mark}"), mark
 
 
+def test_html_parts_beside_each_other(spark):
+    """An article in sibling elements below body, and hosts that only one of the two readers sees."""
+    page = '<body><nav>Top</nav><h1>Head number %d</h1><div class="lead">The lead of page %d says much.</div><div class="story"><p>The story of page %d goes on.</p></div><div class="ad">Buy</div></body>'
+    rows = [(n, f"http://s.org/{n}", page % (n, n, n)) for n in range(4)]
+    own = '<body><div class="top-links">Elsewhere</div><article><p>Page %d.</p></article></body>'
+    rows += [(10 + n, f"//t.org/{n}", own % (10 + n)) for n in range(3)]
+    for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        n = r.page_id
+        assert r.text == (f"Head number {n}\nThe lead of page {n} says much.\nThe story of page {n} goes on." if n < 10 else f"Page {n}."), r
+
+
 # --- op 4 -------------------------------------------------------------------------------
 
 
