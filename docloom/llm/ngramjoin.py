@@ -316,7 +316,9 @@ def _sets(batches):
     for batch in batches:
         for part in slices(batch, "text"):
             x, at = shingle_sets(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([pack(x[at[i] : at[i + 1]]) for i in range(part.num_rows)], pa.binary())], ["key", "body"])
+            # rows that share a doc_id may bring other texts
+            own = np.flatnonzero(set_keys(x, at) == part.column("key").to_numpy())
+            yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(own)), pa.array([pack(x[at[i] : at[i + 1]]) for i in own], pa.binary())], ["key", "body"])
 
 
 def _block(key, table):  # applyInArrow cannot read string annotations
@@ -424,7 +426,7 @@ def _fetch(keys: DataFrame, classes: DataFrame, rows: DataFrame, repeated: bool)
     wanted = materialize(keys.distinct().join(classes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id")), "op5-wanted")
     small = wanted.count() * 16 <= LOOKUP_BYTES
     sets = rows.join(F.broadcast(wanted) if small else wanted, "doc_id").select("key", "text").mapInArrow(_sets, "key long, body binary")
-    # rows that share a doc_id may bring other texts
+    # rows that share a doc_id may bring the same text again
     return materialize(sets.dropDuplicates(["key"]) if repeated else sets, "op5-sets")
 
 
@@ -483,6 +485,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     _tidy(spark)
     if large.limit(1).count():
         more = materialize(more.union(_group_links(large, degree, comp, sets, classes)), "op5-more")
+    if repeated:  # the texts of one doc_id are one document
+        several = known.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a != z")
+        more = materialize(more.union(known.join(several, "doc_id").where("key != a").select("a", F.col("key").alias("b"))), "op5-more")
     if more.limit(1).count():
         comp = components(link.union(more))
 
@@ -493,7 +498,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = materialize(final, "op5-final")
     out = info.drop("sketch").join(final, "key", "left")
     mine = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), mine.alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), mine.alias("component_id"))
+    if repeated:  # a text without words belongs to its document as well
+        whole = out.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_whole"))
+        out = out.join(whole, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "n_shingles", F.coalesce("_whole", "component_id").alias("component_id"))
+    return out
 
 
 def _cross(batches):

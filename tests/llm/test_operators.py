@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,6 +289,17 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     check_components(spark, rows)
 
 
+def test_near_duplicates_with_several_texts_of_one_id(spark):
+    rng = random.Random(31)
+    base = [prose(rng, 60) for _ in range(24)]
+    near = [t.replace(t.split(" ")[3], "changed", 1) for t in base]
+    rows = [(i // 3, t) for i, t in enumerate(base[:12])] + [(100 + i, t) for i, t in enumerate(near[:12])]  # three texts of an id, each with a near copy
+    rows += [(200 + i, t) for i, t in enumerate(base[12:])] + [(300 + i // 2, t) for i, t in enumerate(near[12:])] + [(300, None), (300, ""), (400, None), (400, None)]
+    check_components(spark, rows)
+    sets = ngramjoin._sets([pa.RecordBatch.from_pydict({"key": [int(k) for k in ngramjoin.set_keys(*ngramjoin.shingle_sets(pa.array([base[0]])))] * 2, "text": base[:2]})])
+    assert sum(b.num_rows for b in sets) == 1
+
+
 def test_components(spark):
     rng = random.Random(0)
     edges = [(rng.randrange(60) - 30, rng.randrange(60) - 30) for _ in range(35)] + [(i, i + 1) for i in range(100, 130)]
