@@ -184,7 +184,7 @@ def unpack(b: bytes) -> np.ndarray:
 
 # --- worker functions -------------------------------------------------------------------
 
-_ENTRY = np.dtype([("key", "<i8"), ("r", "<i4"), ("slot", "<i2"), ("n", "<u2")])
+_ENTRY = np.dtype([("key", "<i8"), ("r", "<i4"), ("slot", "<i2"), ("n", "<u4")])
 
 
 def _info(batches):
@@ -210,7 +210,7 @@ def _packed(ranges: int):
             new = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (key[1:] != key[:-1]) | (slot[1:] != slot[:-1])))
             size = np.diff(np.append(new, len(p)))
             e = np.zeros(len(new), _ENTRY)
-            e["key"], e["r"], e["slot"], e["n"] = key[new], r[new], slot[new], np.minimum(size, 65535)
+            e["key"], e["r"], e["slot"], e["n"] = key[new], r[new], slot[new], size
             ps, first = np.unique(p[new], return_index=True)
             last = np.append(first[1:], len(new))
             bodies = []

@@ -300,6 +300,18 @@ def test_near_duplicates_with_several_texts_of_one_id(spark):
     assert sum(b.num_rows for b in sets) == 1
 
 
+def test_very_long_texts_meet():
+    """More than 65,535 signatures of one set in one hash range."""
+    text = " ".join(map(str, range(250_000)))
+    batch = pa.RecordBatch.from_pydict({"text": [text, text + " more"]})
+    packed = list(ngramjoin._packed(1)([batch]))
+    assert max(np.frombuffer(e.as_py(), ngramjoin._ENTRY)["n"].max() for b in packed for e in b.column("entries")) > 65535
+    found = pa.Table.from_batches(ngramjoin._buckets(packed))
+    stars = found.filter(pa.compute.equal(found.column("kind"), ngramjoin.STAR))
+    keys = ngramjoin.set_keys(*ngramjoin.shingle_sets(batch.column("text")))
+    assert {*stars.column("a").to_pylist(), *stars.column("b").to_pylist()} == set(keys.tolist())
+
+
 def test_components(spark):
     rng = random.Random(0)
     edges = [(rng.randrange(60) - 30, rng.randrange(60) - 30) for _ in range(35)] + [(i, i + 1) for i in range(100, 130)]
