@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by PartEnum signatures: exact groups of near-duplicate texts.
+"""N-gram Jaccard join by partition signatures (PartEnum with subsets of size one): exact groups of near-duplicate texts.
 
 A text's set is its distinct five-word shingles (the whole sequence if it has fewer words).
 Two texts link when 100 |A & B| >= 80 |A | B|; the result is the connected components.
