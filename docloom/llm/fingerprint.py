@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import input_bytes, materialize, table
 
-SAMPLES = 48
+SAMPLES = 64
 STEPS = 512
 #: Bytes of input in one id range.
 RANGE_BYTES = 2 << 20

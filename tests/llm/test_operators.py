@@ -551,6 +551,11 @@ def test_gamma_quantiles():
     assert np.allclose(1 - (1 + q) * np.exp(-q), (np.arange(64) + 0.5) / 64)
 
 
+def test_fingerprint_accuracy():
+    """At a likeness of 0.5 the standard error of the share of equal samples is at most 1/16."""
+    assert 0.5 / fingerprint.SAMPLES**0.5 <= 1 / 16
+
+
 # --- style ------------------------------------------------------------------------------
 
 
