@@ -6,7 +6,7 @@ system turns stay system turns and belong to nobody.
 
 A long dialogue is rendered in segments of SEGMENT_TURNS turn numbers, so that no group is
 gathered whole: a dialogue's text is its segments in order, and mask spans count code points
-from the start of their segment.
+from the start of their segment; `start` is where the segment begins in the whole rendering.
 
 Defined results: repeated rows count once; turns of one number are ordered by role, then
 text; null text is empty; a null role is the speaker "unknown"; rows without a turn number
@@ -16,7 +16,7 @@ their meaning by a space after "<|".
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -35,7 +35,7 @@ def _header(role: Column, speaker: Column) -> Column:
 
 
 def rotate(turns: DataFrame) -> DataFrame:
-    """conv_id, speaker, segment, n_turns, text, mask array<struct<start,end>> from
+    """conv_id, speaker, segment, n_turns, text, mask array<struct<start,end>>, start from
     (conv_id, turn, role, text)."""
     t = turns.select(
         "conv_id", F.coalesce(F.floor(F.col("turn") / SEGMENT_TURNS), F.lit(-1)).cast("long").alias("segment"), "turn",
@@ -55,11 +55,13 @@ def rotate(turns: DataFrame) -> DataFrame:
         return F.struct((b + len(TAIL)).alias("at"), F.when(p["own"], F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"))))).otherwise(acc["out"]).alias("out"))
 
     both = both.withColumn("shown", shown)
-    return both.select(
+    before = Window.partitionBy("conv_id", "speaker").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    out = both.select(
         "conv_id", "speaker", "segment", F.size("m").cast("long").alias("n_turns"),
         F.array_join(F.transform("shown", lambda p: F.concat(p["head"], p["body"], F.lit(TAIL))), "").alias("text"),
         F.aggregate("shown", start, place, lambda acc: acc["out"]).alias("mask"),
     )
+    return out.withColumn("start", F.coalesce(F.sum(F.char_length("text").cast("long")).over(before), F.lit(0).cast("long")))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -366,6 +366,17 @@ def test_chat(spark):
     assert chat.rotate(df.where("false")).count() == 0
 
 
+def test_chat_segments_have_offsets(spark):
+    rows = [(1, n, "ann" if n % 3 else "bob", f"turn {n} 😀") for n in range(200)] + [(1, None, "bob", "no number")]
+    got = sorted(chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: r.segment)
+    for who in ("ann", "bob"):
+        mine = [r for r in got if r.speaker == who]
+        whole = "".join(r.text for r in mine)
+        assert len(mine) == 5 and mine[0].start == 0
+        own = [whole[r.start + m.start : r.start + m.end] for r in mine for m in r.mask]
+        assert own == [t for _, n, w, t in sorted(rows, key=lambda x: -1 if x[1] is None else x[1]) if w == who]
+
+
 # --- op 7 -------------------------------------------------------------------------------
 
 
