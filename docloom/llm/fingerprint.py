@@ -7,13 +7,19 @@ with weight w: t = floor(ln w / r + b), ln a = ln c - r (t - b) - r. The sample
 sum(min(w)) / sum(max(w)), the generalised Jaccard similarity, so the share of equal
 samples estimates it. The Gamma draws come from a quantile table of 512 steps.
 
-One shuffle moves the texts: documents are dealt into id ranges, and all later grouping
-(words of a document, samples of a document) stays inside a range. The neighbour of a
-range's last document comes from a table with one row per range.
+Each (document, word) has one row a sample, so that the expressions and tables stand in the
+plan once whatever the number of samples (and the compiled loop stays small); a word that a
+text and its edited form hold equally often is drawn once for both.
+
+Neighbours: distinct (doc_id, hash of the text) rows without texts are range-partitioned and
+sorted by Spark, numbered across the parts, and joined with their successors. The texts are
+shuffled once, by that key; each document's head goes to its predecessor, and all words of a
+document are grouped where its text lies.
 
 Defined results: null text is empty; a text without words has a fixed fingerprint, equal to
-that of any other such text; rows with equal doc_id are ordered by text and kept apart;
-null doc_id sorts last. An empty table gives an empty result.
+that of any other such text; rows with equal doc_id are ordered by a hash of the text;
+repeated rows follow each other and keep a row each; null doc_id sorts last. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,12 +29,17 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import input_bytes, materialize, table
+from .common import discard, input_bytes, materialize, table
 
 SAMPLES = 64
 STEPS = 512
-#: Bytes of input in one id range.
-RANGE_BYTES = 2 << 20
+#: Bytes of texts in one task of the shuffle; more where that would give over MOST_TASKS tasks.
+TASK_BYTES = 2 << 20
+MOST_TASKS = 20_000
+#: Bytes of rows without texts in one part of the order.
+ORDER_BYTES = 8 << 20
+#: Stands above every sample.
+NONE = (1 << 63) - 1
 
 
 def gamma2_quantiles(n: int = STEPS, below: float = 1.0) -> list[float]:
@@ -50,26 +61,31 @@ def _doubles(values: list[float]) -> Column:
     return F.split(F.lit(",".join(f"{v:.7g}" for v in values)), ",").cast("array<double>")
 
 
-def samples(key: Column, weight: Column, n: int) -> list[Column]:
-    """One long per sample: ln a in the upper bits (so that min() finds the winner), 16 bits
-    of the winner's identity (key, t) below."""
-    q = gamma2_quantiles()
+def draw(rows: DataFrame, key: str, sample: str, weights: list[str]) -> DataFrame:
+    """rows with m0, m1, ... for the columns `weights`: for the word `key` and the sample number
+    `sample` one long, ln a in the upper bits (so that min() finds the winner) and 16 bits of the
+    winner's identity (key, t) below; NONE for weight 0. A second weight equal to the first
+    takes its sample. One projection after the other, so that no expression is repeated."""
     # the least c win, so the first step of their table is cut into STEPS steps of its own
-    r_of, lnc_of, lnc_low = _doubles(q), _doubles([math.log(x) for x in q]), _doubles([math.log(x) for x in gamma2_quantiles(STEPS, 1 / STEPS)])
-    lnw, out = F.ln(weight.cast("double")), []
-    for j in range(n):
-        x = F.xxhash64(key, F.lit(j))
-        r = F.get(r_of, x.bitwiseAND(F.lit(STEPS - 1)).cast("int"))
-        i, k = (F.shiftrightunsigned(x, s).bitwiseAND(F.lit(STEPS - 1)).cast("int") for s in (9, 18))
-        ln_c = F.when(i > 0, F.get(lnc_of, i)).otherwise(F.get(lnc_low, k))
-        b = F.shiftrightunsigned(x, 27).cast("double") / F.lit(float(1 << 37))
-        t = F.when(weight == 1, F.lit(0.0)).otherwise(F.floor(lnw / r + b).cast("double"))
-        ln_a = ln_c - r * (t - b) - r
-        # the low bits of b say nothing about who wins
-        who = (F.shiftrightunsigned(x, 27) + t.cast("long") * 40503).bitwiseAND(F.lit(0xFFFF))
-        # ln a lies well inside (-500, 100); 38 bits of fraction keep ties to equal draws
-        out.append(F.shiftleft(((ln_a + 512.0) * float(1 << 37)).cast("long"), 16).bitwiseOR(who))
-    return out
+    q, low = gamma2_quantiles(), gamma2_quantiles(STEPS, 1 / STEPS)
+    r_of, lnc_of, lnc_low = _doubles(q), _doubles([math.log(x) for x in q]), _doubles([math.log(x) for x in low])
+    place = lambda by: F.shiftrightunsigned("_x", by).bitwiseAND(F.lit(STEPS - 1)).cast("int")
+    rows = rows.select("*", F.xxhash64(key, sample).alias("_x"), *[F.ln(F.col(w).cast("double")).alias(f"_l{k}") for k, w in enumerate(weights)])
+    ln_c = F.when(place(9) > 0, F.get(lnc_of, place(9))).otherwise(F.get(lnc_low, place(18)))
+    u = F.shiftrightunsigned("_x", 27)
+    rows = rows.select("*", F.get(r_of, place(0)).alias("_r"), ln_c.alias("_c"), u.alias("_u"), (u.cast("double") / F.lit(float(1 << 37))).alias("_b"))
+    fresh = [(F.col(w) > 0) & (F.col(w) != F.col(weights[0])) if k else F.col(w) > 0 for k, w in enumerate(weights)]
+    turns = [F.when(new & (F.col(w) > 1), F.floor(F.col(f"_l{k}") / F.col("_r") + F.col("_b")).cast("double")).otherwise(F.lit(0.0)) for k, (w, new) in enumerate(zip(weights, fresh))]
+    rows = rows.select("*", *[t.alias(f"_t{k}") for k, t in enumerate(turns)])
+    for k, (w, new) in enumerate(zip(weights, fresh)):
+        t = F.col(f"_t{k}")
+        ln_a = F.col("_c") - F.col("_r") * (t - F.col("_b") + 1.0)
+        # the low bits of b say nothing about who wins; ln a lies well inside (-500, 100), and 38
+        # bits of fraction keep ties to equal draws
+        who = (F.col("_u") + t.cast("long") * 40503).bitwiseAND(F.lit(0xFFFF))
+        own = F.when(new, F.shiftleft(((ln_a + 512.0) * float(1 << 37)).cast("long"), 16).bitwiseOR(who))
+        rows = rows.withColumn(f"m{k}", (own.when(F.col(w) > 0, F.col("m0")) if k else own).otherwise(F.lit(NONE)))
+    return rows
 
 
 def words_of(text: Column) -> Column:
@@ -77,13 +93,21 @@ def words_of(text: Column) -> Column:
     return F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+")
 
 
-def signatures(df: DataFrame, keys: list[str], text: str, n: int = SAMPLES) -> DataFrame:
-    """keys + sig array<int>: the samples of each text with words. keys must identify rows; where
-    df is already partitioned by some of them, nothing is shuffled."""
-    terms = df.select(*keys, F.explode(words_of(F.col(text))).alias("_term")).where("_term != ''")
-    terms = terms.groupBy(*keys, F.xxhash64("_term").alias("_k")).agg(F.count("*").alias("_w"))
-    mins = terms.groupBy(*keys).agg(*[F.min(c).alias(f"_{j}") for j, c in enumerate(samples(F.col("_k"), F.col("_w"), n))])
-    return mins.select(*keys, F.array(*[F.col(f"_{j}").bitwiseAND(F.lit(0xFFFF)).cast("int") for j in range(n)]).alias("sig"))
+def signatures(df: DataFrame, keys: list[str], texts: list[str], n: int = SAMPLES) -> DataFrame:
+    """keys and sig0, sig1, ... array<int>: the samples of each of the text columns (null for a
+    text without words), for rows with words in any of them. keys must identify rows; where df
+    is already partitioned by some of them, nothing is shuffled."""
+    sides = range(len(texts))
+    side = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(t).alias("t")) for k, t in enumerate(texts)]))
+    terms = df.select(*keys, side.alias("s")).select(*keys, "s.side", F.explode(words_of(F.col("s.t"))).alias("term")).where("term != ''")
+    terms = terms.groupBy(*keys, F.xxhash64("term").alias("k")).agg(*[F.count_if(F.col("side") == k).alias(f"w{k}") for k in sides])
+    rows = terms.select("*", F.explode(F.array(*[F.lit(j) for j in range(n)])).alias("j"))
+    rows = draw(rows, "k", "j", [f"w{k}" for k in sides])
+    mins = rows.groupBy(*keys, "j").agg(*[F.min(f"m{k}").alias(f"m{k}") for k in sides])
+    # the n samples of a row, in order
+    whole = mins.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("j", *[f"m{k}" for k in sides]))).alias("all"))
+    sig = lambda k: F.transform("all", lambda x: x[f"m{k}"].bitwiseAND(F.lit(0xFFFF)).cast("int"))
+    return whole.select(*keys, *[F.when(F.col("all")[0][f"m{k}"] != NONE, sig(k)).alias(f"sig{k}") for k in sides])
 
 
 def as_text(sig: Column) -> Column:
@@ -101,50 +125,75 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: id, sig array<int>, fingerprint string."""
     keyed = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
     keyed = keyed.repartition("_row")
-    sig = signatures(keyed, ["_row"], "_text", n)
-    return keyed.select("_row", "_id").join(sig, "_row", "left").select(F.col("_id").alias(id_col), "sig", as_text(F.col("sig")).alias("fingerprint"))
+    sig = signatures(keyed, ["_row"], ["_text"], n)
+    return keyed.select("_row", "_id").join(sig, "_row", "left").select(F.col("_id").alias(id_col), F.col("sig0").alias("sig"), as_text(F.col("sig0")).alias("fingerprint"))
+
+
+def successors(rows: DataFrame) -> DataFrame:
+    """Of (doc_id, h, n_chars, copies), one row for each (doc_id, h): the same with idx, the place
+    in the order of descending doc_id (null last), then h, and before_id, before_h,
+    before_chars, before_idx of the row before it (the last for the first)."""
+    n = min(MOST_TASKS, max(1, -(-input_bytes(rows) // ORDER_BYTES)))
+    order = [F.desc_nulls_last("doc_id"), F.asc("h")]
+    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    placed = materialize(placed.select("*", F.shiftright("at", 33).alias("part")), "op10-order")
+    # one row a part: how many rows are before it
+    shift = placed.groupBy("part").agg(F.count("*").alias("n"))
+    shift = shift.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("shift"))
+    idx = (F.col("shift") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("idx")
+    rows = materialize(placed.join(F.broadcast(shift), "part").select("doc_id", "h", "n_chars", "copies", idx), "op10-order")
+    discard(placed)
+    total = max(rows.count(), 1)
+    before = rows.select(F.pmod(F.col("idx") + 1, F.lit(total)).alias("idx"), F.col("doc_id").alias("before_id"), F.col("h").alias("before_h"), F.col("n_chars").alias("before_chars"), F.col("idx").alias("before_idx"))
+    return rows.join(before, "idx")
+
+
+def _known(id_col: str, h: str) -> list[Column]:
+    """Join key without nulls: the id (0 for null) and the hash of the text (others for null)."""
+    return [F.coalesce(F.col(id_col), F.lit(0).cast("long")), F.when(F.col(id_col).isNull(), F.xxhash64(h)).otherwise(F.col(h))]
 
 
 def with_next(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
     """Fingerprints of each document, of its text whose last third is replaced by the head
     of the next document (descending doc_id, the first after the last), and likenesses."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = max(1, -(-input_bytes(docs) // RANGE_BYTES))
-    cuts = [x for x in (rows.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []) if x is not None] if parts > 1 else []
-    cuts = sorted(set(cuts))
-    # ranges count downwards from the largest ids, null ids last
-    place = F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= F.col("doc_id"))) if cuts else F.lit(0)
-    rows = rows.withColumn("b", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(place).cast("int"))
-    order = Window.partitionBy("b").orderBy(F.desc_nulls_last("doc_id"), "text")
-    rows = rows.repartition(max(parts, 1), "b")
-    rows = rows.select("b", "doc_id", "text", F.char_length("text").alias("n_chars"), F.lead("text").over(order).alias("after"), F.row_number().over(order).alias("i"))
-
-    # one row per range: its first text and the range that follows it in the cycle
-    heads = materialize(rows.where("i = 1").select("b", F.col("text").alias("head")), "op10-heads")
-    some = sorted(r.b for r in heads.select("b").collect())
-    follow = dict(zip(some, some[1:] + some[:1]))
-    back = {v: k for k, v in follow.items()}
-    prior = F.element_at(F.create_map(*[F.lit(x) for kv in back.items() for x in kv]), F.col("b")) if back else F.col("b")
-    rows = rows.join(heads.select(prior.alias("b"), "head"), "b", "left")
-    third = F.floor(F.col("n_chars") / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring(F.coalesce("after", "head"), F.lit(1), third))
-    rows = rows.select("b", "i", "doc_id", "n_chars", "text", edited.alias("edited"))
-
-    sides = rows.select("b", "i", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))).alias("s")).select("b", "i", "s.side", "s.t")
-    sig = signatures(sides, ["b", "i", "side"], "t", n)
-    pair = sig.groupBy("b", "i").agg(F.max(F.when(F.col("side") == 0, F.col("sig"))).alias("own"), F.max(F.when(F.col("side") == 1, F.col("sig"))).alias("other"))
-    meta = rows.select("b", "i", "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
-    full = materialize(meta.join(pair, ["b", "i"], "left"), "op10-signatures")
-
-    firsts = full.where("i = 1").select(prior.alias("b"), F.struct("own").alias("first"))
-    order = Window.partitionBy("b").orderBy("i")
-    full = full.withColumn("next", F.lead(F.struct("own")).over(order)).join(firsts, "b", "left")
-    nxt = F.coalesce("next", "first")["own"]
-    return full.select(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    small = rows.groupBy("doc_id", "h").agg(F.first(F.char_length("text")).alias("n_chars"), F.count("*").alias("copies"))
+    small = materialize(small, "op10-ids")
+    repeated = bool(small.where("copies > 1").limit(1).count())
+    order = materialize(successors(small), "op10-next")
+    discard(small)
+
+    key = ["k1", "k2"]
+    texts = rows.select(*[k.alias(a) for k, a in zip(_known("doc_id", "h"), key)], "text")
+    if repeated:
+        texts = texts.dropDuplicates(key)
+    texts = texts.repartition(min(MOST_TASKS, max(1, -(-input_bytes(docs) // TASK_BYTES))), *key)
+    place = order.select(*[k.alias(a) for k, a in zip(_known("doc_id", "h"), key)], *[k.alias(a) for k, a in zip(_known("before_id", "before_h"), ("b1", "b2"))], "doc_id", "n_chars", "copies", "idx", "before_chars")
+    whole = texts.join(place, key)
+    third = lambda c: F.floor(F.col(c) / 3).cast("int")
+    heads = whole.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"), F.substring("text", F.lit(1), third("before_chars")).alias("head"))
+    pairs = whole.join(heads, key).withColumn("own", F.lit(0)).withColumn("rows", F.lit(1).cast("long"))
+    if repeated:  # all but the last of equal rows are followed by their own text
+        pairs = pairs.unionByName(whole.where("copies > 1").select("*", F.col("text").alias("head"), F.lit(1).alias("own"), (F.col("copies") - 1).alias("rows")))
+    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third("n_chars")).cast("int")), F.substring("head", F.lit(1), third("n_chars")))
+    pairs = pairs.select(*key, "own", "rows", "idx", "doc_id", "n_chars", "text", edited.alias("edited"))
+    sig = signatures(pairs, [*key, "own"], ["text", "edited"], n)
+    meta = pairs.select(*key, "own", "rows", "idx", "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
+    full = materialize(meta.join(sig, [*key, "own"], "left").drop(*key), "op10-signatures")
+
+    # the sample of the row after, by its place
+    after = order.select("idx", "before_idx").join(full.where("own = 0").select("idx", F.col("sig0").alias("next")), "idx").select(F.col("before_idx").alias("idx"), "next")
+    full = full.join(after, "idx")
+    nxt = F.when(F.col("own") == 1, F.col("sig0")).otherwise(F.col("next"))
+    out = full.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
-        as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), nxt).alias("near_next"),
+        as_text(F.col("sig0")).alias("fingerprint"), as_text(F.col("sig1")).alias("edited_fingerprint"),
+        likeness(F.col("sig0"), F.col("sig1")).alias("near_edited"), likeness(F.col("sig0"), nxt).alias("near_next"), "rows",
     )
+    if repeated:
+        out = out.select(*out.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("_copy")).drop("_copy")
+    return out.drop("rows")
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
