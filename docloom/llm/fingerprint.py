@@ -7,9 +7,9 @@ with weight w: t = floor(ln w / r + b), ln a = ln c - r (t - b) - r. The sample
 sum(min(w)) / sum(max(w)), the generalised Jaccard similarity, so the share of equal
 samples estimates it. The Gamma draws come from a quantile table of 512 steps.
 
-Each (document, word) has one row a sample, so that the expressions and tables stand in the
-plan once whatever the number of samples (and the compiled loop stays small); a word that a
-text and its edited form hold equally often is drawn once for both.
+Each (document, word) has a row for every CHUNK samples, so that plan and compiled code stay
+small whatever the number of samples; a word that a text and its edited form hold equally often
+is drawn once for both.
 
 Neighbours: distinct (doc_id, hash of the text) rows without texts are range-partitioned and
 sorted by Spark, numbered across the parts, and joined with their successors. The texts are
@@ -35,11 +35,11 @@ SAMPLES = 64
 STEPS = 512
 #: Bytes of texts in one task of the shuffle; more where that would give over MOST_TASKS tasks.
 TASK_BYTES = 2 << 20
-MOST_TASKS = 20_000
+MOST_TASKS = 200_000
 #: Bytes of rows without texts in one part of the order.
 ORDER_BYTES = 8 << 20
-#: Stands above every sample.
-NONE = (1 << 63) - 1
+#: Samples that a row of a (document, word) draws; their columns stand in the plan.
+CHUNK = 2
 
 
 def gamma2_quantiles(n: int = STEPS, below: float = 1.0) -> list[float]:
@@ -58,34 +58,29 @@ def gamma2_quantiles(n: int = STEPS, below: float = 1.0) -> list[float]:
 
 
 def _doubles(values: list[float]) -> Column:
-    return F.split(F.lit(",".join(f"{v:.7g}" for v in values)), ",").cast("array<double>")
+    return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast("array<double>")
 
 
-def draw(rows: DataFrame, key: str, sample: str, weights: list[str]) -> DataFrame:
-    """rows with m0, m1, ... for the columns `weights`: for the word `key` and the sample number
-    `sample` one long, ln a in the upper bits (so that min() finds the winner) and 16 bits of the
-    winner's identity (key, t) below; NONE for weight 0. A second weight equal to the first
-    takes its sample. One projection after the other, so that no expression is repeated."""
+def samples(key: Column, first: Column, weight: Column, lnw: Column, n: int) -> list[Column]:
+    """One long for each of the samples first, ..., first + n - 1: ln a in the upper bits (so that
+    min() finds the winner), 16 bits of the winner's identity (key, t) below."""
     # the least c win, so the first step of their table is cut into STEPS steps of its own
     q, low = gamma2_quantiles(), gamma2_quantiles(STEPS, 1 / STEPS)
     r_of, lnc_of, lnc_low = _doubles(q), _doubles([math.log(x) for x in q]), _doubles([math.log(x) for x in low])
-    place = lambda by: F.shiftrightunsigned("_x", by).bitwiseAND(F.lit(STEPS - 1)).cast("int")
-    rows = rows.select("*", F.xxhash64(key, sample).alias("_x"), *[F.ln(F.col(w).cast("double")).alias(f"_l{k}") for k, w in enumerate(weights)])
-    ln_c = F.when(place(9) > 0, F.get(lnc_of, place(9))).otherwise(F.get(lnc_low, place(18)))
-    u = F.shiftrightunsigned("_x", 27)
-    rows = rows.select("*", F.get(r_of, place(0)).alias("_r"), ln_c.alias("_c"), u.alias("_u"), (u.cast("double") / F.lit(float(1 << 37))).alias("_b"))
-    fresh = [(F.col(w) > 0) & (F.col(w) != F.col(weights[0])) if k else F.col(w) > 0 for k, w in enumerate(weights)]
-    turns = [F.when(new & (F.col(w) > 1), F.floor(F.col(f"_l{k}") / F.col("_r") + F.col("_b")).cast("double")).otherwise(F.lit(0.0)) for k, (w, new) in enumerate(zip(weights, fresh))]
-    rows = rows.select("*", *[t.alias(f"_t{k}") for k, t in enumerate(turns)])
-    for k, (w, new) in enumerate(zip(weights, fresh)):
-        t = F.col(f"_t{k}")
-        ln_a = F.col("_c") - F.col("_r") * (t - F.col("_b") + 1.0)
+    out = []
+    for s in range(n):
+        x = F.xxhash64(key, first + F.lit(s))
+        place = lambda by: F.shiftrightunsigned(x, by).bitwiseAND(F.lit(STEPS - 1)).cast("int")  # noqa: E731,B023
+        r = F.get(r_of, place(0))
+        ln_c = F.when(place(9) > 0, F.get(lnc_of, place(9))).otherwise(F.get(lnc_low, place(18)))
+        b = F.shiftrightunsigned(x, 27).cast("double") / F.lit(float(1 << 37))
+        t = F.when(weight == 1, F.lit(0.0)).otherwise(F.floor(lnw / r + b).cast("double"))
+        ln_a = ln_c - r * (t - b + 1.0)
         # the low bits of b say nothing about who wins; ln a lies well inside (-500, 100), and 38
         # bits of fraction keep ties to equal draws
-        who = (F.col("_u") + t.cast("long") * 40503).bitwiseAND(F.lit(0xFFFF))
-        own = F.when(new, F.shiftleft(((ln_a + 512.0) * float(1 << 37)).cast("long"), 16).bitwiseOR(who))
-        rows = rows.withColumn(f"m{k}", (own.when(F.col(w) > 0, F.col("m0")) if k else own).otherwise(F.lit(NONE)))
-    return rows
+        who = (F.shiftrightunsigned(x, 27) + t.cast("long") * 40503).bitwiseAND(F.lit(0xFFFF))
+        out.append(F.shiftleft(((ln_a + 512.0) * float(1 << 37)).cast("long"), 16).bitwiseOR(who))
+    return out
 
 
 def words_of(text: Column) -> Column:
@@ -93,21 +88,31 @@ def words_of(text: Column) -> Column:
     return F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+")
 
 
-def signatures(df: DataFrame, keys: list[str], texts: list[str], n: int = SAMPLES) -> DataFrame:
-    """keys and sig0, sig1, ... array<int>: the samples of each of the text columns (null for a
-    text without words), for rows with words in any of them. keys must identify rows; where df
-    is already partitioned by some of them, nothing is shuffled."""
-    sides = range(len(texts))
-    side = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(t).alias("t")) for k, t in enumerate(texts)]))
-    terms = df.select(*keys, side.alias("s")).select(*keys, "s.side", F.explode(words_of(F.col("s.t"))).alias("term")).where("term != ''")
-    terms = terms.groupBy(*keys, F.xxhash64("term").alias("k")).agg(*[F.count_if(F.col("side") == k).alias(f"w{k}") for k in sides])
-    rows = terms.select("*", F.explode(F.array(*[F.lit(j) for j in range(n)])).alias("j"))
-    rows = draw(rows, "k", "j", [f"w{k}" for k in sides])
-    mins = rows.groupBy(*keys, "j").agg(*[F.min(f"m{k}").alias(f"m{k}") for k in sides])
-    # the n samples of a row, in order
-    whole = mins.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("j", *[f"m{k}" for k in sides]))).alias("all"))
-    sig = lambda k: F.transform("all", lambda x: x[f"m{k}"].bitwiseAND(F.lit(0xFFFF)).cast("int"))
-    return whole.select(*keys, *[F.when(F.col("all")[0][f"m{k}"] != NONE, sig(k)).alias(f"sig{k}") for k in sides])
+def signatures(df: DataFrame, keys: list[str], text: str, other: str | None = None, n: int = SAMPLES) -> DataFrame:
+    """keys, sig0 array<int> and, for a second text column, sig1: the samples of each text (null for
+    a text without words), for rows with words. keys must identify rows; where df is already
+    partitioned by some of them, nothing is shuffled."""
+    texts = F.array(*[F.struct(F.lit(k).alias("side"), F.col(t).alias("t")) for k, t in enumerate([text, other or text][: 2 if other else 1])])
+    terms = df.select(*keys, F.explode(texts).alias("s")).select(*keys, "s.side", F.explode(words_of(F.col("s.t"))).alias("term")).where("term != ''")
+    terms = terms.groupBy(*keys, F.xxhash64("term").alias("k")).agg(F.count_if(F.col("side") == 0).alias("w0"), F.count_if(F.col("side") == 1).alias("w1"))
+    # a word that both hold equally often (side 2) is drawn once
+    one = lambda side, w: F.struct(F.lit(side).alias("side"), F.col(w).alias("w"), F.ln(F.col(w).cast("double")).alias("lnw"))
+    held = F.when(F.col("w1") == F.col("w0"), F.array(one(2, "w0"))).when(F.col("w1") == 0, F.array(one(0, "w0"))).when(F.col("w0") == 0, F.array(one(1, "w1"))).otherwise(F.array(one(0, "w0"), one(1, "w1")))
+    terms = terms.select(*keys, "k", F.inline(held))
+    rows = terms.select("*", F.explode(F.array(*[F.lit(i) for i in range(0, n, CHUNK)])).alias("first"))
+    mins = rows.groupBy(*keys, "side", "first").agg(*[F.min(m).alias(f"m{s}") for s, m in enumerate(samples(F.col("k"), F.col("first"), F.col("w"), F.col("lnw"), CHUNK))])
+    # the samples of a row, in order; of each the least of its sides
+    least = mins.select(*keys, "side", "first", F.array(*[f"m{s}" for s in range(CHUNK)]).alias("m"))
+    whole = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("first", "side", "m"))).alias("all"))
+
+    def sig(side: int) -> Column:
+        mine = F.filter("all", lambda p: p["side"] != 1 - side)
+        pick = lambda which: F.flatten(F.transform(F.filter(mine, lambda p: p["side"] == which), lambda p: p["m"]))
+        both = F.arrays_zip(pick(side).alias("x"), pick(2).alias("y"))
+        codes = F.transform(both, lambda p: F.least(p["x"], p["y"]).bitwiseAND(F.lit(0xFFFF)).cast("int"))
+        return F.when(F.size(mine) > 0, F.slice(codes, 1, n)).alias(f"sig{side}")
+
+    return whole.select(*keys, *[sig(k) for k in range(2 if other else 1)])
 
 
 def as_text(sig: Column) -> Column:
@@ -125,7 +130,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: id, sig array<int>, fingerprint string."""
     keyed = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
     keyed = keyed.repartition("_row")
-    sig = signatures(keyed, ["_row"], ["_text"], n)
+    sig = signatures(keyed, ["_row"], "_text", n=n)
     return keyed.select("_row", "_id").join(sig, "_row", "left").select(F.col("_id").alias(id_col), F.col("sig0").alias("sig"), as_text(F.col("sig0")).alias("fingerprint"))
 
 
@@ -178,7 +183,7 @@ def with_next(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
         pairs = pairs.unionByName(whole.where("copies > 1").select("*", F.col("text").alias("head"), F.lit(1).alias("own"), (F.col("copies") - 1).alias("rows")))
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third("n_chars")).cast("int")), F.substring("head", F.lit(1), third("n_chars")))
     pairs = pairs.select(*key, "own", "rows", "idx", "doc_id", "n_chars", "text", edited.alias("edited"))
-    sig = signatures(pairs, [*key, "own"], ["text", "edited"], n)
+    sig = signatures(pairs, [*key, "own"], "text", "edited", n)
     meta = pairs.select(*key, "own", "rows", "idx", "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
     full = materialize(meta.join(sig, [*key, "own"], "left").drop(*key), "op10-signatures")
 
