@@ -319,7 +319,7 @@ def multipart_boundary(content_type: str, limits: MultipartLimits | None = None)
     raise JsonError(INVALID_ARGUMENT, "Content-Type has no boundary")
 
 
-def _header(line: bytes, part: dict) -> None:
+def read_header(line: bytes, part: dict) -> None:
     name, colon, value = line.decode("utf-8", "replace").partition(":")
     if not colon:
         raise JsonError(INVALID_JSON, "invalid multipart header line")
@@ -376,7 +376,7 @@ def multipart_parts(data: bytes, content_type: str, limits: MultipartLimits | No
             while got := line():
                 if len(part["headers"]) >= limits.max_headers:
                     raise JsonError(OVERFLOW, "multipart part has more headers than allowed")
-                _header(got, part)
+                read_header(got, part)
             if part["content_length"] >= 0:
                 end = at + part["content_length"]
                 if end > len(data):
@@ -403,4 +403,4 @@ def chunked(data: bytes, size: int) -> Iterator[dict]:
         yield {"chunk_no": n, "bytes": data[at : at + size], "eof": at + size >= len(data)}
 
 
-__all__ = ["AUTO", "SINGLE", "NDJSON", "ARRAY_ITEMS", "candidates", "objects", "array_items", "events", "leaves", "sse_events", "multipart_parts", "multipart_boundary", "chunked", "Limits"]
+__all__ = ["AUTO", "SINGLE", "NDJSON", "ARRAY_ITEMS", "candidates", "objects", "array_items", "events", "leaves", "sse_events", "multipart_parts", "multipart_boundary", "read_header", "chunked", "Limits"]

@@ -371,6 +371,27 @@ def encode_buffer(record, schema, capacity: int, overflow: str = "fail", limits:
     return F.struct(put["value"].alias("value"), put["error"].alias("error"), F.octet_length(text).cast("long").alias("needed"))
 
 
+def write_json(build: Callable, *columns) -> Column:
+    """struct<text, error> of documents by writer calls: build(writer, *values) for each row."""
+    from ..writer import JsonWriter
+
+    kind = struct_type(text="string", error=ERROR)
+
+    def one(*values) -> dict:
+        writer = JsonWriter()
+        try:
+            build(writer, *values)
+            return {"text": writer.finish(), "error": ok_row()}
+        except JsonError as e:
+            return {"text": None, "error": e.row()}
+
+    def run(*arrays: pa.Array) -> pa.Array:
+        return pa.array([one(*v) for v in zip(*(a.to_pylist() for a in arrays))], arrow_type(kind))
+
+    run.__annotations__ = {}
+    return F.arrow_udf(run, kind)(*map(col_of, columns))
+
+
 # --- rewriting --------------------------------------------------------------------------
 
 

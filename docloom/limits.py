@@ -76,7 +76,7 @@ class MultipartLimits:
     max_boundary_bytes: int = 200
     max_header_line_bytes: int = 64 << 10
     max_headers: int = 64
-    max_part_bytes: int = 1 << 20
+    max_part_bytes: int = 1 << 20  # of a pushed part that waits for its boundary
 
 
 @dataclass(frozen=True)
@@ -85,7 +85,6 @@ class Limits:
 
     max_depth: int = 64
     reject_duplicate_keys: bool = True
-    clear_destination: bool = True
     max_dynamic_string_bytes: int = 128 << 10
     max_output_bytes: int = 8 << 20
     value: ValueLimits = field(default_factory=ValueLimits)

@@ -261,19 +261,33 @@ def array_items_raw(spark, d):
     return O.array_items(_order_docs(spark, d), "doc", "items", ["o_orderkey"]).select(F.col("o_orderkey").alias("l_orderkey"), F.col("index").alias("idx"), "value")
 
 
-@query("SELECT o_orderkey, count(*) * 8 + 10 AS n_events, count(*) * 3 + 2 AS n_leaves FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+_EVENTS = f"""WITH l AS (SELECT l_orderkey AS k, idx AS x, line::VARCHAR AS a, part::VARCHAR AS b, flag AS c FROM ({_LINES})),
+n AS (SELECT k, count(*) AS n FROM l GROUP BY 1), o AS (SELECT o_orderkey AS k, o_orderstatus AS s, n FROM orders JOIN n ON k = o_orderkey)
+SELECT k, seq::BIGINT AS seq, event, depth::INTEGER AS depth, text, path FROM (
+SELECT k, e.seq, e.event, e.depth, e.text, e.path FROM o, unnest([
+{{'seq': 0, 'event': 'object_begin', 'depth': 0, 'text': NULL, 'path': ''}}, {{'seq': 1, 'event': 'key', 'depth': 1, 'text': 'id', 'path': ''}},
+{{'seq': 2, 'event': 'number', 'depth': 1, 'text': k::VARCHAR, 'path': 'id'}}, {{'seq': 3, 'event': 'key', 'depth': 1, 'text': 'status', 'path': ''}},
+{{'seq': 4, 'event': 'string', 'depth': 1, 'text': s, 'path': 'status'}}, {{'seq': 5, 'event': 'key', 'depth': 1, 'text': 'items', 'path': ''}},
+{{'seq': 6, 'event': 'array_begin', 'depth': 1, 'text': NULL, 'path': 'items'}}, {{'seq': 7 + 8 * n, 'event': 'array_end', 'depth': 1, 'text': NULL, 'path': 'items'}},
+{{'seq': 8 + 8 * n, 'event': 'object_end', 'depth': 0, 'text': NULL, 'path': ''}}]) AS u(e)
+UNION ALL SELECT k, 7 + 8 * x + e.seq, e.event, e.depth, e.text, 'items.' || x || e.path FROM l, unnest([
+{{'seq': 0, 'event': 'object_begin', 'depth': 2, 'text': NULL, 'path': ''}}, {{'seq': 1, 'event': 'key', 'depth': 3, 'text': 'line', 'path': ''}},
+{{'seq': 2, 'event': 'number', 'depth': 3, 'text': a, 'path': '.line'}}, {{'seq': 3, 'event': 'key', 'depth': 3, 'text': 'part', 'path': ''}},
+{{'seq': 4, 'event': 'number', 'depth': 3, 'text': b, 'path': '.part'}}, {{'seq': 5, 'event': 'key', 'depth': 3, 'text': 'flag', 'path': ''}},
+{{'seq': 6, 'event': 'string', 'depth': 3, 'text': c, 'path': '.flag'}}, {{'seq': 7, 'event': 'object_end', 'depth': 2, 'text': NULL, 'path': ''}}]) AS u(e))"""
+
+
+@query(_EVENTS)
 def json_events(spark, d):
-    docs = _order_docs(spark, d)
-    # an object of three members: 2 + 3 keys + 2 scalars + the array's 2; an item: 2 + 3 keys + 3 scalars
-    e = O.json_events(docs, "doc", ["o_orderkey"], with_path=False).groupBy("o_orderkey").agg((F.count("*") + 1).alias("n_events"))
-    leaves = O.json_leaves(docs, "doc", ["o_orderkey"]).groupBy("o_orderkey").agg(F.count("*").alias("n_leaves"))
-    return e.join(leaves, "o_orderkey")
+    """Every event of every document, with depth, text and path."""
+    e = O.json_events(_order_docs(spark, d), "doc", ["o_orderkey"])
+    return e.select(F.col("o_orderkey").alias("k"), "seq", "event", "depth", "text", F.array_join("path", ".").alias("path"))
 
 
-@query(f"SELECT l_orderkey, 'items.' || idx || '.part' AS path, part::VARCHAR AS text FROM ({_LINES})")
+@query(f"SELECT l_orderkey, 'items.' || idx || '.' || f AS path, kind AS type, v AS text FROM (SELECT l_orderkey, idx, unnest(['line', 'part', 'flag']) AS f, unnest(['number', 'number', 'string']) AS kind, unnest([line::VARCHAR, part::VARCHAR, flag]) AS v FROM ({_LINES})) UNION ALL SELECT o_orderkey, unnest(['id', 'status']), unnest(['number', 'string']), unnest([o_orderkey::VARCHAR, o_orderstatus]) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def json_leaves(spark, d):
-    leaves = O.json_leaves(_order_docs(spark, d), "doc", ["o_orderkey"]).where(F.element_at("path", -1) == "part")
-    return leaves.select(F.col("o_orderkey").alias("l_orderkey"), F.array_join("path", ".").alias("path"), "text")
+    leaves = O.json_leaves(_order_docs(spark, d), "doc", ["o_orderkey"])
+    return leaves.select(F.col("o_orderkey").alias("l_orderkey"), F.array_join("path", ".").alias("path"), "type", "text")
 
 
 # --- rewriting --------------------------------------------------------------------------
@@ -348,9 +362,9 @@ def _sse_docs(spark, d) -> DataFrame:
     return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", one.alias("e")))), lambda x: x["e"]), ": keep-alive\n").alias("doc"))
 
 
-@query("SELECT conv_id, turn::VARCHAR AS id, role AS event, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS data, 1500::BIGINT AS retry FROM conversations WHERE role <> 'system'")
+@query("SELECT conv_id, turn::VARCHAR AS id, role AS event, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS data, 1500::BIGINT AS retry FROM conversations")
 def sse_events(spark, d):
-    e = O.sse_events(_sse_docs(spark, d), "doc", ["conv_id"]).where("event != 'system'")
+    e = O.sse_events(_sse_docs(spark, d), "doc", ["conv_id"])
     return e.select("conv_id", "id", "event", "data", F.col("retry_ms").cast("long").alias("retry"))
 
 

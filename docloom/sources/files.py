@@ -3,7 +3,10 @@ touch storage, so any file system that Spark reaches works."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import encode
@@ -41,18 +44,66 @@ def write_text(df: DataFrame, text: str, path: str, **options) -> None:
     df.select(F.col(text).alias("value")).write.text(path, **options)
 
 
-def write_jsonl(df: DataFrame, record, schema, path: str, limits: Limits | None = None, max_records: int | None = None) -> None:
-    """Records as lines. Fails on the first record that can't be encoded."""
-    text = encode(record, schema, limits)
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below spark.checkpoint.dir, which driver and executors share; where that is
+    unset, below the warehouse, or in a temporary folder of a single local JVM."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+        found = tempfile.mkdtemp(prefix="docloom-") if local else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{found.rstrip('/')}/docloom-files/{uuid.uuid4().hex}"
+
+
+def write_jsonl(df: DataFrame, record, schema, path: str, limits: Limits | None = None, max_records: int | None = None, pretty: bool = False) -> None:
+    """Records as lines (pretty: indented, a line feed after each). Fails on the first record that
+    can't be encoded."""
+    text = encode(record, schema, limits, pretty)
     checked = df.select(text.alias("r")).select(F.when(F.col("r.error.code") == "ok", F.col("r.text")).otherwise(F.raise_error(F.concat_ws(": ", F.col("r.error.code"), F.col("r.error.message")))).alias("value"))
     writer = checked.write.option("maxRecordsPerFile", max_records) if max_records else checked.write
     writer.text(path)
 
 
-def rewrite_files(spark: SparkSession, source: str, target: str, rewrite) -> None:
-    """Apply rewrite(column) -> struct<text, error> to each file and write the texts."""
+def write_files(df: DataFrame, name: str, content: str | Column, path: str) -> None:
+    """One file for each row, with this name below a path and exactly these bytes, by the file
+    system that Spark's own configuration gives for the path (in the tasks, through Arrow)."""
+    target = path.rstrip("/")
+
+    def put(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(target) if "://" in target or target.startswith("file:") else (fs.LocalFileSystem(), target)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for n, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                # a task that is run again writes the same bytes over
+                with store.open_output_stream(f"{base}/{n}") as out:
+                    out.write(c or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = df.select(F.col(name).alias("name"), (F.col(content) if isinstance(content, str) else content).alias("content"))
+    rows.mapInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
+def _done(r: Column) -> Column:
+    bad = F.raise_error(F.concat(F.lit(IO_ERROR + ": "), r["error"]["code"], F.lit(": "), r["error"]["message"]))
+    return F.when(r["error"]["code"] == "ok", r["text"]).otherwise(bad)
+
+
+def _apart(source: str, target: str) -> None:
     if source.rstrip("/") == target.rstrip("/"):
         raise JsonError(INVALID_ARGUMENT, "source and target must differ")
-    out = read_documents(spark, source).select(rewrite(F.col("content")).alias("r"))
-    bad = F.raise_error(F.concat(F.lit(IO_ERROR + ": "), F.col("r.error.message")))
-    out.select(F.when(F.col("r.error.code") == "ok", F.col("r.text")).otherwise(bad).alias("value")).write.text(target)
+
+
+def rewrite_files(spark: SparkSession, source: str, target: str, rewrite) -> None:
+    """Apply rewrite(column) -> struct<text, error> to each file; the results stand below target under
+    the same names, without a byte added."""
+    _apart(source, target)
+    out = read_documents(spark, source).select(F.element_at(F.split("path", "/"), -1).alias("name"), rewrite(F.col("content")).alias("r"))
+    write_files(out.select("name", F.encode(_done(F.col("r")), "UTF-8").alias("content")), "name", "content", target)
+
+
+def rewrite_lines(spark: SparkSession, source: str, target: str, rewrite) -> None:
+    """The same for each line of files of lines, split across tasks by Spark."""
+    _apart(source, target)
+    write_text(read_jsonl(spark, source).select(rewrite(F.col("doc")).alias("r")).select(_done(F.col("r")).alias("t")), "t", target)

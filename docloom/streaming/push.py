@@ -13,11 +13,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..framing import SseState
-from ..limits import INVALID_JSON, MISSING_REQUIRED_FIELD, OVERFLOW, TYPE_MISMATCH, JsonError, Limits
+from ..framing import SseState, array_items, read_header
+from ..limits import INVALID_ARGUMENT, INVALID_JSON, OVERFLOW, TYPE_MISMATCH, JsonError, Limits, ValueLimits
 from ..records import Decoder, Encoder
 from ..schema import Schema
-from ..strict import compact, unescape, validate
+from ..strict import compact, end_of, only_space_after, skip_space, unescape
 
 _NEXT = re.compile(rb'["{}\[\],:]')
 _IN_STRING = re.compile(rb'["\\]')
@@ -29,13 +29,26 @@ class _Scanner:
 
     def __init__(self, max_residual: int):
         self.held, self.at, self.depth, self.quoted = b"", 0, 0, False
+        self.start = 0  # what is before it has been taken
         self.max_residual = max_residual
 
     def add(self, chunk: bytes) -> None:
+        self.settle()
         self.held += chunk
         if len(self.held) > self.max_residual:
             raise JsonError(OVERFLOW, "residual bytes are more than allowed")
 
+    def settle(self) -> None:
+        """Let go of the bytes that were taken: once a chunk, not once a value."""
+        if self.start:
+            self.held, self.at, self.start = self.held[self.start :], self.at - self.start, 0
+
+    @property
+    def lead(self) -> bytes:
+        """The first byte that is neither taken nor white space."""
+        at = skip_space(self.held, self.start)
+        return self.held[at : at + 1]
+
     def marks(self) -> Iterator[tuple[int, int]]:
         """(byte, position) of structural bytes outside strings; quotes are reported when a
         string ends."""
@@ -66,15 +79,15 @@ class _Scanner:
 
     def cut(self, at: int) -> bytes:
         """Take the bytes before a position out of the residual."""
-        out, self.held = self.held[:at], self.held[at:]
-        self.at -= at
+        out, self.start = self.held[self.start : at], at
         return out
 
     def save(self) -> list:
+        self.settle()
         return [self.at, self.depth, self.quoted]
 
     def load(self, saved: list, held: bytes) -> None:
-        (self.at, self.depth, self.quoted), self.held = saved, held
+        (self.at, self.depth, self.quoted), self.held, self.start = saved, held, 0
 
 
 class ObjectSplitter:
@@ -83,11 +96,15 @@ class ObjectSplitter:
     def __init__(self, max_residual: int = 10 << 20):
         self.scan = _Scanner(max_residual)
 
+    def _check_lead(self) -> None:
+        if self.scan.lead not in (b"", b"{"):
+            raise JsonError(INVALID_JSON, "expected top-level object")
+
     def feed(self, chunk: bytes) -> Iterator[bytes]:
         s = self.scan
         s.add(chunk)
-        if not s.depth and (lead := s.held.lstrip(_SPACE)) and lead[:1] != b"{":
-            raise JsonError(INVALID_JSON, "expected top-level object")
+        if not s.depth:
+            self._check_lead()
         for c, at in s.marks():
             if c in b"{[":
                 s.depth += 1
@@ -95,11 +112,10 @@ class ObjectSplitter:
                 s.depth -= 1
                 if s.depth <= 0:
                     yield s.cut(at + 1)
-                    if (lead := s.held.lstrip(_SPACE)) and lead[:1] != b"{":
-                        raise JsonError(INVALID_JSON, "expected top-level object")
+                    self._check_lead()
 
     def finish(self) -> None:
-        if self.scan.held.strip(_SPACE):
+        if self.scan.lead:
             raise JsonError(INVALID_JSON, "unexpected end of input")
 
     def save(self) -> tuple[str, bytes]:
@@ -109,16 +125,37 @@ class ObjectSplitter:
         self.scan.load(json.loads(text), held)
 
 
+#: The longest part of a string token's inside that ends between characters and escapes.
+_WHOLE = re.compile(rb'(?:[^"\\\x00-\x1f\x80-\xff]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}|\\["\\/bfnrt]|\\u(?![dD][89a-fA-F])[0-9a-fA-F]{4}|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2})*')
+
+
 class ItemSplitter:
-    """Items of the root array or of the array under one root key. Outside that array only the
-    nesting is checked."""
+    """Items of the root array or of the array under one root key. What stands outside the array is
+    kept (an "outline" of the document with the array empty) and judged by the pull operator
+    when the array begins and at the end, so any cut into chunks gives its rows and errors.
+
+    check(raw) judges an item and gives its row's value; pieces: string items leave in parts as
+    they arrive, as (item, text, whether it ends)."""
 
-    def __init__(self, selector: str = "", max_residual: int = 10 << 20):
+    def __init__(self, selector: str = "", max_residual: int = 10 << 20, check=None, pieces: bool = False):
         self.selector, self.scan = selector, _Scanner(max_residual)
+        self.check, self.pieces, self.outline = check or _raw_item, pieces, b""
         self.state = "seek"  # seek, items, after
-        self.key, self.base, self.comma = "", 0, False
+        self.key, self.base, self.comma, self.item = "", 0, False, 0
 
-    def feed(self, chunk: bytes) -> Iterator[bytes]:
+    def _outside(self, raw: bytes) -> bytes:
+        self.outline += raw
+        if len(self.outline) > self.scan.max_residual:
+            raise JsonError(OVERFLOW, "bytes outside the array are more than allowed")
+        return raw
+
+    def _judge(self, closing: bytes = b"") -> None:
+        """Raise what the pull operator reports for the outline."""
+        for row in array_items(self.outline + closing, self.selector):
+            if row["error"]["code"] != "ok":
+                raise JsonError(row["error"]["code"], row["error"]["message"])
+
+    def feed(self, chunk: bytes) -> Iterator:
         s = self.scan
         s.add(chunk)
         for c, at in s.marks():
@@ -126,7 +163,7 @@ class ItemSplitter:
                 if c in b"{[":
                     s.depth += 1
                 elif c == 0x2C and s.depth == self.base:
-                    yield self._item(s.cut(at + 1)[:-1], True)
+                    yield from self._item(s.cut(at + 1)[:-1], True)
                 elif c in b"}]":
                     s.depth -= 1
                     if s.depth < self.base:
@@ -134,50 +171,160 @@ class ItemSplitter:
                         if c != 0x5D:
                             raise JsonError(INVALID_JSON, "expected ',' or ']'")
                         if last.strip(_SPACE) or self.comma:
-                            yield self._item(last, False)
+                            yield from self._item(last, False)
                         self.state = "after"
+                        self._outside(b"]")
                 continue
             if c in b"{[":
-                wanted = c == 0x5B and (s.depth == 0 if not self.selector else s.depth == 1 and self.key == self.selector) and self.state == "seek"
-                if self.state == "seek" and s.depth == 0 and not wanted and (c == 0x5B) == bool(self.selector):
-                    raise JsonError(TYPE_MISMATCH, "root is not of the selected kind")
-                if self.state == "seek" and not wanted and s.depth == 1 and self.selector and self.key == self.selector:
-                    raise JsonError(TYPE_MISMATCH, "selected value is not an array")
+                wanted = self.state == "seek" and c == 0x5B and (s.depth == 0 if not self.selector else s.depth == 1 and self.key == self.selector)
                 s.depth += 1
-                s.cut(at + 1)
+                self._outside(s.cut(at + 1))
                 if wanted:
+                    self._judge(b"]}" if self.selector else b"]")
                     self.state, self.base = "items", s.depth
+                elif self.state == "seek" and s.depth == 2 and self.selector and self.key == self.selector:
+                    raise JsonError(TYPE_MISMATCH, "selected value is not an array")
             elif c in b"}]":
                 s.depth -= 1
-                s.cut(at + 1)
+                self._outside(s.cut(at + 1))
             elif c == 0x3A and s.depth == 1:
-                token = s.cut(at + 1)[:-1].strip(_SPACE)
-                self.key = unescape(token, 0, len(token)).decode("utf-8", "replace")
+                token = self._outside(s.cut(at + 1))[:-1].strip(_SPACE)
+                try:
+                    self.key = unescape(token, 0, len(token)).decode("utf-8", "replace")
+                except (JsonError, KeyError):
+                    self.key = ""  # the outline's judge will say
             elif c == 0x2C:
-                self._scalar(s.cut(at + 1)[:-1])
-        return
-
-    def _scalar(self, raw: bytes) -> None:
-        if self.state == "seek" and self.selector and self.scan.depth == 1 and self.key == self.selector and raw.strip(_SPACE):
-            raise JsonError(TYPE_MISMATCH, "selected value is not an array")
+                self._outside(s.cut(at + 1))
+        if self.pieces and self.state == "items" and s.quoted and s.depth == self.base:
+            yield from self._piece()
 
-    def _item(self, raw: bytes, comma: bool) -> bytes:
+    def _piece(self) -> Iterator:
+        """What has arrived of an open string item; the rest stays as a string that begins anew."""
+        s = self.scan
+        begin = skip_space(s.held, s.start)
+        if s.held[begin : begin + 1] != b'"':
+            return
+        end = _WHOLE.match(s.held, begin + 1).end()
+        if end > begin + 1:
+            text = unescape(b'"' + s.held[begin + 1 : end] + b'"', 0, end - begin + 1)
+            at = s.at - end + 1
+            s.held, s.start, s.at = b'"' + s.held[end:], 0, at
+            yield self.item, text.decode("utf-8", "replace"), False
+
+    def _item(self, raw: bytes, comma: bool) -> Iterator:
         self.comma = comma
-        validate(raw)
-        return compact(raw.strip(_SPACE))
+        got = self.check(raw)
+        yield (self.item, got, True) if self.pieces else got
+        self.item += 1
 
     def finish(self) -> None:
-        if self.state == "items" or self.scan.depth or self.scan.quoted or self.scan.held.strip(_SPACE):
+        if self.state == "items":
             raise JsonError(INVALID_JSON, "unexpected end of input")
-        if self.state == "seek":
-            raise JsonError(MISSING_REQUIRED_FIELD, f"no key {self.selector}")
+        self._outside(self.scan.cut(len(self.scan.held)))
+        self._judge()
 
     def save(self) -> tuple[str, bytes]:
-        return json.dumps([self.scan.save(), self.state, self.key, self.base, self.comma]), self.scan.held
+        state = [self.scan.save(), self.state, self.key, self.base, self.comma, self.item, len(self.outline)]
+        return json.dumps(state), self.outline + self.scan.held
 
     def load(self, text: str, held: bytes) -> None:
-        scan, self.state, self.key, self.base, self.comma = json.loads(text)
-        self.scan.load(scan, held)
+        scan, self.state, self.key, self.base, self.comma, self.item, n = json.loads(text)
+        self.outline = held[:n]
+        self.scan.load(scan, held[n:])
+
+
+def _span(raw: bytes, unique: bool) -> bytes:
+    """One strict value with white space around it, without that."""
+    only_space_after(raw, end_of(raw, skip_space(raw, 0), ValueLimits(), unique))
+    return raw.strip(_SPACE)
+
+
+def _raw_item(raw: bytes) -> bytes:
+    return compact(_span(raw, True))
+
+
+def _string_item(raw: bytes) -> str:
+    raw = _span(raw, True)
+    if raw[:1] != b'"':
+        raise JsonError(TYPE_MISMATCH, "selected array item is not a string")
+    return unescape(raw, 0, len(raw)).decode("utf-8", "replace")
+
+
+class MultipartSplitter:
+    """Parts of a multipart body, each whole. A part without a Content-Length waits for its
+    boundary, within max_part_bytes."""
+
+    def __init__(self, boundary: str, limits: Limits | None = None):
+        self.limits, self.mark = (limits or Limits()).multipart, b"--" + boundary.encode()
+        if not boundary or len(boundary.encode()) > self.limits.max_boundary_bytes:
+            raise JsonError(OVERFLOW if boundary else INVALID_ARGUMENT, "multipart boundary is empty or longer than allowed")
+        self.border = re.compile(rb"(?:\A|(?<=\n))" + re.escape(self.mark) + rb"(--)?\r?\n")
+        self.held, self.state, self.part, self.end = b"", "border", None, False
+
+    def _line(self, at: int, end: bool) -> tuple[bytes, int] | None:
+        m = re.compile(rb"([^\r\n]*)(\r\n|\n|\r(?!\Z))" if not end else rb"([^\r\n]*)(\r\n|\r|\n|\Z)").match(self.held, at)
+        size = len(m[1]) if m else len(self.held) - at
+        if size > self.limits.max_header_line_bytes:
+            raise JsonError(OVERFLOW, "multipart line is longer than allowed")
+        return (m[1], m.end()) if m and at < len(self.held) else None
+
+    def feed(self, chunk: bytes) -> Iterator[dict]:
+        self.held += chunk
+        yield from self._run(False)
+
+    def _run(self, end: bool) -> Iterator[dict]:
+        at = 0
+        try:
+            while self.state != "done":
+                if self.state in ("border", "head"):
+                    if not (got := self._line(at, end)):
+                        return
+                    line, at = got
+                    if self.state == "border":
+                        if line == self.mark + b"--":
+                            self.state = "done"
+                        elif line == self.mark:
+                            self.part, self.state = {"name": None, "content_type": None, "content_length": -1, "headers": []}, "head"
+                        elif line:
+                            raise JsonError(INVALID_JSON, "unexpected multipart boundary line")
+                    elif not line:
+                        self.state = "body"
+                    else:
+                        if len(self.part["headers"]) >= self.limits.max_headers:
+                            raise JsonError(OVERFLOW, "multipart part has more headers than allowed")
+                        read_header(line, self.part)
+                    continue
+                size = self.part["content_length"]
+                if size >= 0:
+                    if len(self.held) < at + size:
+                        return
+                    body, at, self.state = self.held[at : at + size], at + size, "border"
+                else:
+                    rest = self.held[at:]
+                    m = (re.compile(self.border.pattern.replace(rb"\r?\n", rb"\r?(?:\n|\Z)")) if end else self.border).search(rest)
+                    if not m:
+                        if len(rest) > self.limits.max_part_bytes + len(self.mark) + 8:
+                            raise JsonError(OVERFLOW, "multipart part is larger than is held")
+                        return
+                    body, at = re.sub(rb"\r?\n\Z", b"", rest[: m.start()]), at + m.end()
+                    self.state, next_part = ("done" if m[1] else "head"), {"name": None, "content_type": None, "content_length": -1, "headers": []}
+                    done, self.part = self.part, next_part
+                    yield {**done, "body": body}
+                    continue
+                yield {**self.part, "body": body}
+        finally:
+            self.held = self.held[at:]
+
+    def finish(self) -> Iterator[dict]:
+        yield from self._run(True)
+        if self.state != "done":
+            raise JsonError(INVALID_JSON, "multipart body ends before the closing boundary")
+
+    def save(self) -> tuple[str, bytes]:
+        return json.dumps([self.state, self.part]), self.held
+
+    def load(self, text: str, held: bytes) -> None:
+        (self.state, self.part), self.held = json.loads(text), held
 
 
 class SseSplitter:
@@ -256,17 +403,39 @@ def _push(df: DataFrame, key: str, chunk: str, order: str, make, row, fields: st
 def push_objects(df: DataFrame, key: str, chunk: str, order: str, schema, last: str | None = None, limits: Limits | None = None, max_residual: int = 10 << 20) -> DataFrame:
     """key, seq, record (canonical text of the decoded record), error of object streams."""
     s = Schema.of(schema)
+    decoder, encoder = Decoder(s, limits), Encoder(s)
+    return _push(df, key, chunk, order, lambda: ObjectSplitter(max_residual), lambda raw: (encoder.encode(decoder.decode(raw)[0]),), "record string", last)
+
+
+def push_items(df: DataFrame, key: str, chunk: str, order: str, selector: str = "", last: str | None = None, max_residual: int = 10 << 20, mode: str = "text", schema=None, limits: Limits | None = None) -> DataFrame:
+    """key, seq, value, error of the items of one array of a chunked document. mode "text": the item's
+    text; "strings": decoded string items. With a schema: canonical text of the decoded record."""
+    if mode not in ("text", "strings") or (schema is not None and mode != "text"):
+        raise JsonError(INVALID_ARGUMENT, f"unknown mode {mode}")
+    if schema is not None:
+        s = Schema.of(schema)
+        decoder, encoder = Decoder(s, limits), Encoder(s)
+
+        def check(raw: bytes) -> str:
+            raw = _span(raw, False)
+            if raw[:1] != b"{":
+                raise JsonError(TYPE_MISMATCH, "selected array item is not an object")
+            return encoder.encode(decoder.decode(raw)[0])
+
+    else:
+        check = _string_item if mode == "strings" else lambda raw: _raw_item(raw).decode("utf-8", "replace")
+    return _push(df, key, chunk, order, lambda: ItemSplitter(selector, max_residual, check), lambda v: (v,), "value string", last)
 
-    def row(raw: bytes):
-        record, _ = Decoder(s, limits).decode(raw)
-        return (Encoder(s).encode(record),)
 
-    return _push(df, key, chunk, order, lambda: ObjectSplitter(max_residual), row, "record string", last)
+def push_string_chunks(df: DataFrame, key: str, chunk: str, order: str, selector: str = "", last: str | None = None, max_residual: int = 10 << 20) -> DataFrame:
+    """key, seq, item, value, ends, error: the string items of one array in parts, as they arrive; the
+    values of one item in the order of seq are its text, the last one has ends = true."""
+    return _push(df, key, chunk, order, lambda: ItemSplitter(selector, max_residual, _string_item, True), lambda v: v, "item long, value string, ends boolean", last)
 
 
-def push_items(df: DataFrame, key: str, chunk: str, order: str, selector: str = "", last: str | None = None, max_residual: int = 10 << 20) -> DataFrame:
-    """key, seq, value (text of the item), error of one array of a chunked document."""
-    return _push(df, key, chunk, order, lambda: ItemSplitter(selector, max_residual), lambda raw: (raw.decode("utf-8", "replace"),), "value string", last)
+def push_multipart(df: DataFrame, key: str, chunk: str, order: str, boundary: str, last: str | None = None, limits: Limits | None = None) -> DataFrame:
+    """key, seq, name, content_type, body, error of chunked multipart bodies with one boundary."""
+    return _push(df, key, chunk, order, lambda: MultipartSplitter(boundary, limits), lambda p: (p["name"], p["content_type"], p["body"]), "name string, content_type string, body binary", last)
 
 
 def push_sse(df: DataFrame, key: str, chunk: str, order: str, last: str | None = None, limits: Limits | None = None) -> DataFrame:

@@ -20,6 +20,7 @@ class JsonWriter:
         self._out: list[bytes] = []
         self._stack: list[list] = []  # [kind "{" or "[", members so far, key pending]
         self._string: list[bytes] | None = None
+        self._value: list[bytes] | None = None
         self._root = self._failed = False
 
     def _fail(self, message: str, code: str = INVALID_ARGUMENT):
@@ -29,8 +30,8 @@ class JsonWriter:
     def _before(self) -> None:
         if self._failed:
             raise JsonError(INVALID_ARGUMENT, "writer has failed before")
-        if self._string is not None:
-            self._fail("a string is open")
+        if self._string is not None or self._value is not None:
+            self._fail("a string or value is open")
         if not self._stack:
             if self._root:
                 self._fail("a root value is already written")
@@ -59,7 +60,7 @@ class JsonWriter:
         return self
 
     def _close(self, kind: str, mark: bytes) -> JsonWriter:
-        if self._failed or self._string is not None or not self._stack or self._stack[-1][0] != kind or self._stack[-1][2]:
+        if self._failed or self._string is not None or self._value is not None or not self._stack or self._stack[-1][0] != kind or self._stack[-1][2]:
             self._fail("nothing of this kind can be closed here")
         self._stack.pop()
         self._out.append(mark)
@@ -79,7 +80,7 @@ class JsonWriter:
 
     def key(self, name: str | bytes) -> JsonWriter:
         top = self._stack[-1] if self._stack else None
-        if self._failed or self._string is not None or not top or top[0] != "{" or top[2]:
+        if self._failed or self._string is not None or self._value is not None or not top or top[0] != "{" or top[2]:
             self._fail("a key can't stand here")
         raw = name.encode("utf-8", "surrogatepass") if isinstance(name, str) else name
         if len(raw) > self.limits.max_key_bytes:
@@ -158,6 +159,54 @@ class JsonWriter:
             raise
         return self._put(done)
 
+    def value_begin(self) -> JsonWriter:
+        """Open a value whose JSON text comes in chunks."""
+        self._before()
+        self._value = []
+        return self
+
+    def value_chunk(self, chunk: str | bytes) -> JsonWriter:
+        if self._failed or self._value is None:
+            self._fail("no value is open")
+        self._value.append(chunk.encode("utf-8", "surrogatepass") if isinstance(chunk, str) else chunk)
+        return self
+
+    def value_end(self) -> JsonWriter:
+        """Close it: the chunks have to be exactly one value."""
+        if self._failed or self._value is None:
+            self._fail("no value is open")
+        raw, self._value = b"".join(self._value), None
+        try:
+            self._out.append(canonical(raw))
+        except JsonError:
+            self._failed = True
+            raise
+        return self
+
+    def value_from(self, chunks: Iterable[bytes]) -> JsonWriter:
+        """A value from a reader, a file or a spool."""
+        self.value_begin()
+        for c in chunks:
+            self.value_chunk(c)
+        return self.value_end()
+
+    def array_items_from(self, chunks: Iterable[bytes], selector: str = "") -> JsonWriter:
+        """The items of the array in a document that comes in chunks, each as soon as it is whole."""
+        from .streaming import ItemSplitter
+
+        if self._failed or not self._stack or self._stack[-1][0] != "[":
+            self._fail("no array is open")
+        splitter = ItemSplitter(selector)
+        try:
+            for c in chunks:
+                for item in splitter.feed(c):
+                    self._put(item)
+            splitter.finish()
+        except JsonError:
+            self._failed = True
+            raise
+        return self
+
     def array_items(self, text: str | bytes, selector: str = "") -> JsonWriter:
         """Append the items of a document's array to the open array."""
         from .framing import array_items
@@ -174,6 +223,6 @@ class JsonWriter:
         return self._put(Encoder(schema).encode(value).encode("utf-8", "surrogatepass"))
 
     def finish(self) -> str:
-        if self._failed or not self._root or self._stack or self._string is not None:
+        if self._failed or not self._root or self._stack or self._string is not None or self._value is not None:
             self._fail("the document is not complete")
         return b"".join(self._out).decode("utf-8", "replace")

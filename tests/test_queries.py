@@ -3,6 +3,7 @@ import os
 import duckdb
 import pytest
 
+from docloom import queries_fields  # noqa: F401
 from docloom.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
