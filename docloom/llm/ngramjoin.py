@@ -172,7 +172,7 @@ def links(both: int, na: int, nb: int) -> bool:
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Six bytes of each hash: enough within a pair."""
+    """Six low bytes of each signature: their range holds the rest."""
     return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
@@ -182,6 +182,15 @@ def unpack(b: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def body(x: np.ndarray) -> bytes:
+    """A set as bytes: whole hashes, as exact counts need."""
+    return x.astype("<u8").tobytes()
+
+
+def unbody(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, "<u8")
+
+
 # --- worker functions -------------------------------------------------------------------
 
 _ENTRY = np.dtype([("key", "<i8"), ("r", "<i4"), ("slot", "<i2"), ("n", "<u4")])
@@ -318,7 +327,7 @@ def _sets(batches):
             x, at = shingle_sets(part.column("text"))
             # rows that share a doc_id may bring other texts
             own = np.flatnonzero(set_keys(x, at) == part.column("key").to_numpy())
-            yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(own)), pa.array([pack(x[at[i] : at[i + 1]]) for i in own], pa.binary())], ["key", "body"])
+            yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(own)), pa.array([body(x[at[i] : at[i + 1]]) for i in own], pa.binary())], ["key", "body"])
 
 
 def _block(key, table):  # applyInArrow cannot read string annotations
@@ -326,15 +335,15 @@ def _block(key, table):  # applyInArrow cannot read string annotations
     each pair of a left member and a component."""
     left = table.filter(table.column("left"))
     right = table.filter(pa.compute.invert(table.column("left")))
-    bodies = [unpack(b.as_py()) for b in right.column("body")]
+    bodies = [unbody(b.as_py()) for b in right.column("body")]
     a_out, b_out = [], []
     if bodies and left.num_rows:
         flat, size = np.concatenate(bodies), np.array([len(b) for b in bodies])
         known, code = np.unique(flat, return_inverse=True)
         begin = np.append(0, np.cumsum(size)[:-1])
         keys, comps = right.column("key").to_numpy(), right.column("comp").to_numpy()
-        for k, c, body in zip(left.column("key").to_pylist(), left.column("comp").to_pylist(), left.column("body")):
-            x = unpack(body.as_py())
+        for k, c, raw in zip(left.column("key").to_pylist(), left.column("comp").to_pylist(), left.column("body")):
+            x = unbody(raw.as_py())
             at = np.minimum(np.searchsorted(known, x), len(known) - 1)
             mark = np.zeros(len(known), np.int32)
             mark[at[known[at] == x]] = 1
@@ -356,7 +365,7 @@ def _verified(batches):
     for batch in batches:
         ok = []
         for x, y in zip(batch.column("body_a"), batch.column("body_b")):
-            x, y = unpack(x.as_py()), unpack(y.as_py())
+            x, y = unbody(x.as_py()), unbody(y.as_py())
             both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
             ok.append(links(both, len(x), len(y)))
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -447,7 +456,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ranges = max(16, -(-input_bytes(docs) // RANGE_BYTES))
     packed = rows.where("doc_id is not null").select("text").mapInArrow(_packed(ranges), "p int, entries binary, sigs binary")
-    found = materialize(packed.repartition(ranges, "p").sortWithinPartitions("p").mapInArrow(_buckets, _FOUND), "op5-found")
+    found = materialize(packed.repartitionById(ranges, F.col("p")).sortWithinPartitions("p").mapInArrow(_buckets, _FOUND), "op5-found")
     _tidy(spark)
 
     # sets that small buckets do not cover, by slot; their members of large buckets
@@ -520,7 +529,7 @@ def _cross(batches):
 
 
 #: Bytes of packed sets on each side of a block.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def _group_links(star: DataFrame, members: DataFrame, comp: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
@@ -532,7 +541,7 @@ def _group_links(star: DataFrame, members: DataFrame, comp: DataFrame, sets: Dat
     sizes = one.groupBy("grp", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("size"))
     groups = sizes.groupBy("grp").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("size").alias("size"), F.count("*").alias("comps"), F.max("m").alias("top"), F.sum("m").alias("all")).where("comps > 1")
     # block counts: bytes of all members, and of the remaining ones at the group's mean
-    blocks = lambda share: F.ceil(F.col("size") * 6 * share / BLOCK_BYTES).cast("int")
+    blocks = lambda share: F.ceil(F.col("size") * 8 * share / BLOCK_BYTES).cast("int")
     groups = groups.select("grp", "main", blocks(F.lit(1.0)).alias("right_blocks"), F.greatest(blocks(1 - F.col("top") / F.col("all")), F.lit(1)).alias("left_blocks"))
     one = materialize(one.join(groups, "grp"), "op5-grouped")
     own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
