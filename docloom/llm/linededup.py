@@ -18,7 +18,7 @@ phrases stay. Words are compared without regard to case and white space.
 
 The plan: (window, doc_id) rows, once per document, are counted with a combine before the
 shuffle; windows of more than one document are written with their first doc_id and joined
-back (a hot window is one row there, so AQE can split its other side); each document then
+back (a hot window is one row there, so AQE can split its other side); each text then
 gets the list of its own windows to remove, no longer than itself.
 
 Defined results: null text stays null; texts of fewer than three lines are kept; rows with
@@ -157,7 +157,7 @@ def windows(h: np.ndarray, size: int = WINDOW) -> np.ndarray:
 
 
 def _window_rows(batches):
-    """(window, id, twice) once per document; twice: it comes more than once in this document."""
+    """(window, id, h, twice) once per text; twice: it comes more than once in this text."""
     for batch in batches:
         for part in slices(batch, "text", PART_BYTES):
             _, h, first = layout([t or "" for t in part.column("text").to_pylist()])
@@ -170,7 +170,7 @@ def _window_rows(batches):
             win, of = win[order], of[order]
             head = np.flatnonzero(np.append(True, (win[1:] != win[:-1]) | (of[1:] != of[:-1])))
             more = np.diff(np.append(head, len(win))) > 1
-            yield pa.RecordBatch.from_arrays([pa.array(win[head]), part.column("id").take(pa.array(of[head])), pa.array(more)], ["win", "id", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array(win[head]), part.column("id").take(pa.array(of[head])), part.column("h").take(pa.array(of[head])), pa.array(more)], ["win", "id", "h", "twice"])
 
 
 def kept(text: str | None, again: list[int] | None, laid: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[str | None, int]:
@@ -211,18 +211,22 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count
     (which replaces one of that name)."""
     configure(docs.sparkSession)
     docs = without(docs, [count])
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    wins = materialize(rows.mapInArrow(_window_rows, "win long, id long, twice boolean"), "op9-windows")
+    own_id, own_h = F.col(id_col).cast("long"), F.xxhash64(text_col)
+    rows = docs.select(own_id.alias("id"), own_h.alias("h"), F.col(text_col).alias("text"))
+    wins = materialize(rows.mapInArrow(_window_rows, "win long, id long, h long, twice boolean"), "op9-windows")
     first = wins.groupBy("win").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.max("twice").alias("any")).where("n > 1 or any").select("win", "first")
     first = materialize(first, "op9-repeated")
+    # a text's windows are looked up under its id and hash: texts without an id are apart
     earlier = ~F.col("id").eqNullSafe(F.col("first"))
     again = wins.join(first, "win").where(earlier | F.col("twice"))
-    again = again.groupBy("id").agg(F.sort_array(F.collect_set(F.when(earlier, F.col("win")))).alias("_again"))
+    key = lambda i, h: [F.coalesce(i, F.lit(0).cast("long")), F.when(i.isNull(), F.xxhash64(h)).otherwise(h)]
+    again = again.groupBy(*[k.alias(n) for k, n in zip(key(F.col("id"), F.col("h")), ("_dl_id", "_dl_h"))])
+    again = again.agg(F.sort_array(F.collect_set(F.when(earlier, F.col("win")))).alias("_dl_again"))
     again = materialize(again, "op9-again")
     discard(wins, first)
 
-    again = again.select(F.col("id").alias("_dl_id"), F.col("_again").alias("_dl_again"))
-    whole = docs.join(again, docs[id_col].eqNullSafe(again["_dl_id"]), "left")
+    keyed = docs.select("*", *[k.alias(n) for k, n in zip(key(own_id, own_h), ("_dl_id", "_dl_h"))])
+    whole = keyed.join(again, ["_dl_id", "_dl_h"], "left")
     schema = T.StructType([*docs.schema.fields, T.StructField(count, T.LongType())])
     names = docs.columns
 
