@@ -11,7 +11,7 @@ Kinds assign, access and hex are the base rules (leftmost non-overlapping matche
 short are dropped afterwards, as their text stays consumed). Further kinds add spans.
 
 Defined results: null text is empty (no spans); repeated rows each keep their row; rows whose
-doc_id is null share postings under the null id, which is only a wider candidate set.
+doc_id is null stand in no posting list; every rule scans them.
 """
 
 from __future__ import annotations
@@ -127,22 +127,21 @@ def postings(docs: DataFrame, grams: list[str], id_col: str = "doc_id", text_col
 
 
 def candidates(index: DataFrame, queries: dict[str, frozenset]) -> DataFrame:
-    """id and one Boolean per rule: postings intersected for each conjunction, united over them.
-    A posting list is never gathered: each id keeps one flag per trigram (combined before the shuffle)."""
-    grams = sorted({g for q in queries.values() for c in q for g in c})
-    has = index.groupBy("id").agg(*[F.max(F.col("trigram") == g).alias(f"g{i}") for i, g in enumerate(grams)])
-    flag = {g: F.coalesce(F.col(f"g{i}"), F.lit(False)) for i, g in enumerate(grams)}
-
-    def meets(query: frozenset) -> Column:
-        any_of = F.lit(False)
-        for conj in sorted(query, key=sorted):
-            all_of = F.lit(True)
-            for g in sorted(conj):
-                all_of = all_of & flag[g]
-            any_of = any_of | all_of
-        return any_of
-
-    return has.select("id", *[meets(q).alias(f"maybe_{k}") for k, q in queries.items()])
+    """id and one Boolean per rule: the posting lists of each conjunction are intersected (ids that
+    as many of its lists hold as it has trigrams), and the intersections of a rule united."""
+    parts = [(kind, conj) for kind, query in queries.items() for conj in sorted(query, key=sorted)]
+    of = {}  # trigram -> numbers of the conjunctions that name it
+    for i, (_, conj) in enumerate(parts):
+        for g in conj:
+            of.setdefault(g, []).append(i)
+    asked = F.create_map(*[c for g, some in sorted(of.items()) for c in (F.lit(g), F.array(*[F.lit(i) for i in some]))])
+    lists = index.select("id", "trigram").select("id", F.explode(F.element_at(asked, F.col("trigram"))).alias("part"))
+    # a posting list is never gathered: an id counts its lists, combined before the shuffle; repeated
+    # ids count theirs together, which can only add candidates
+    need = F.array(*[F.lit(len(conj)) for _, conj in parts])
+    met = lists.groupBy("id", "part").agg(F.count("*").alias("n")).where(F.col("n") >= F.get(need, F.col("part")))
+    rule = F.get(F.array(*[F.lit(kind) for kind, _ in parts]), F.col("part"))
+    return met.groupBy("id").agg(*[F.max(rule == k).alias(f"maybe_{k}") for k in queries])
 
 
 def spans(text: Column, rule: Rule) -> Column:
@@ -153,14 +152,37 @@ def spans(text: Column, rule: Rule) -> Column:
     kept = F.regexp_extract_all(text, pat, F.lit(rule.group)) if rule.group else whole
     both = F.zip_with(whole, kept, lambda w, k: F.struct(w.alias("w"), k.alias("k")))
     steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(whole)), both, lambda p, b: F.struct(F.char_length(p).alias("gap"), F.char_length(b["w"]).alias("len"), F.char_length(b["k"]).alias("key")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
+    return F.transform(F.filter(_placed(steps), lambda s: s["key"] >= rule.least), lambda s: F.struct(s["start"].alias("start"), (s["start"] + s["len"]).alias("end")))
+
+
+def _running(items: Column) -> Column:
+    """struct<at, out> for items array<struct<gap,len,key>>: out has their `start`, a running sum of
+    gap and len; at is the sum of all. out grows by copying, so items should be few."""
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,len:int,key:int>>)").alias("out"))
 
     def add(acc: Column, s: Column) -> Column:
         a = acc["at"] + s["gap"]
-        one = F.array(F.struct(a.alias("start"), (a + s["len"]).alias("end")))
-        return F.struct((a + s["len"]).alias("at"), F.when(s["key"] >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        return F.struct((a + s["len"]).alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), s["len"].alias("len"), s["key"].alias("key")))).alias("out"))
+
+    return F.aggregate(items, start, add)
+
+
+def _placed(steps: Column) -> Column:
+    """The steps with their start in the text: running sums within blocks of about sqrt(n) steps, then
+    over the blocks."""
+
+    def by_blocks(st: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(st))).cast("int"), F.lit(1))
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(st), F.lit(1)), size)
+        return F.transform(firsts, lambda i: _running(F.slice(st, i, size)))
+
+    def shift(blocks: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        before = F.aggregate(blocks, zero, lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, before, lambda b, at: F.transform(b["out"], lambda s: F.struct((s["start"] + at).alias("start"), s["len"].alias("len"), s["key"].alias("key")))))
 
-    return F.aggregate(steps, start, add, lambda acc: acc["out"])
+    # the outer arrays bind steps and blocks once
+    return F.transform(F.transform(F.array(steps), by_blocks), shift)[0]
 
 
 def _named(hits: Column, order: int, kind: str) -> Column:
@@ -176,15 +198,17 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     rows = docs
     if queries:
         grams = sorted({g for q in queries.values() for c in q for g in c})
-        may = candidates(postings(docs, grams, id_col, text_col), queries)
-        may = may.select(F.col("id").alias("_dl_id"), *[F.col(f"maybe_{k}").alias(f"_dl_{k}") for k in queries])
-        rows = docs.join(may, docs[id_col].eqNullSafe(may["_dl_id"]), "left")
+        may = candidates(postings(docs.where(F.col(id_col).isNotNull()), grams, id_col, text_col), queries)
+        may = may.select(F.col("id").alias("_dl_id"), F.lit(0).cast("long").alias("_dl_part"), *[F.col(f"maybe_{k}").alias(f"_dl_{k}") for k in queries])
+        # rows without an id have no postings; they are dealt out by their text
+        keyed = docs.withColumn("_dl_part", F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.lit(0)))
+        rows = keyed.join(may, (F.coalesce(keyed[id_col], F.lit(0)) == may["_dl_id"]) & (keyed["_dl_part"] == may["_dl_part"]), "left")
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     each = []
     for order, r in enumerate(rules):
         hits = spans(F.col(text_col), r)
         if r.kind in queries:
-            hits = F.when(F.col(f"_dl_{r.kind}") & F.regexp_like(F.col(text_col), F.lit(r.pattern)), hits).otherwise(none)
+            hits = F.when((F.col(id_col).isNull() | F.col(f"_dl_{r.kind}")) & F.regexp_like(F.col(text_col), F.lit(r.pattern)), hits).otherwise(none)
         else:
             hits = F.when(F.regexp_like(F.col(text_col), F.lit(r.pattern)), hits).otherwise(none)
         each.append(_named(hits, order, r.kind))
