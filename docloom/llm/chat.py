@@ -10,8 +10,8 @@ from the start of their segment; `start` is where the segment begins in the whol
 
 Defined results: repeated rows count once; turns of one number are ordered by role, then
 text; null text is empty; a null role is the speaker "unknown"; rows without a turn number
-form segment -1; rows without conv_id form one dialogue; control strings in a text lose
-their meaning by a space after "<|".
+form segment -1; rows without conv_id form one dialogue; control strings in a text or
+role lose their meaning by a space after "<|", and line ends in a role become spaces.
 """
 
 from __future__ import annotations
@@ -26,11 +26,16 @@ SYSTEM = ("system",)
 TAIL = "<|im_end|>\n"
 
 
+def _plain(role: Column) -> Column:
+    """A name that cannot leave its line or open a turn."""
+    return F.replace(F.translate(role, "\r\n", "  "), F.lit("<|"), F.lit("<| "))
+
+
 def _header(role: Column, speaker: Column) -> Column:
     return (
         F.when(role == speaker, F.lit("<|im_start|>assistant\n"))
         .when(role.isin(*SYSTEM), F.lit("<|im_start|>system\n"))
-        .otherwise(F.concat(F.lit("<|im_start|>user name="), role, F.lit("\n")))
+        .otherwise(F.concat(F.lit("<|im_start|>user name="), _plain(role), F.lit("\n")))
     )
 
 
@@ -80,7 +85,7 @@ with t as (
   select conv_id, speaker, segment, turn, role, text,
     case when role = speaker then '<|im_start|>assistant' || chr(10)
          when role in ('system') then '<|im_start|>system' || chr(10)
-         else '<|im_start|>user name=' || role || chr(10) end as head
+         else '<|im_start|>user name=' || replace(translate(role, chr(13) || chr(10), '  '), '<|', '<| ') || chr(10) end as head
   from t join s on t.conv_id is not distinct from s.c
 ), o as (
   select *, coalesce(sum(length(head) + length(text) + {len(TAIL)}) over (
