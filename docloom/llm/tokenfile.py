@@ -13,7 +13,7 @@ The plan: documents are range-partitioned by doc_id and sorted (one shuffle of t
 tokenised in that order and written; token totals of the parts give each part's start.
 
 Defined results: null text is empty and gets the end id alone; rows without a doc_id come
-first; rows with equal doc_id are ordered by text; an empty table gives an empty file.
+first; rows with equal doc_id are ordered by a hash of their text; an empty table gives an empty file.
 """
 
 from __future__ import annotations
@@ -233,12 +233,13 @@ def read(segments: DataFrame) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 s = batch.slice(r, 1).to_pylist()[0]
-                ef = lambda k: EliasFano(*(s[f"{k}_{f}"] for f in ("n", "low_bits", "low", "high", "samples"))).values()  # noqa: E731,B023
+                ef = lambda k: EliasFano(*(s[f"{k}_{f}"] for f in ("n", "low_bits", "low", "high", "samples")))  # noqa: E731,B023
                 ends = ef("ends")
+                ends = np.array([ends.select(i) for i in range(ends.n)], np.int64)
                 starts = np.append(0, ends[:-1])
                 ids = np.frombuffer(s["ids"], f"<u{s['width']}").astype("<u4")
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts, ends)]
-                doc = [None] * s["no_id"] + (ef("docs") + s["base_id"]).tolist()
+                doc = [None] * s["no_id"] + (ef("docs").values() + s["base_id"]).tolist()
                 shift = int(before[np.searchsorted(parts, s["part"])]) + s["first"]
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(starts + shift), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
