@@ -180,12 +180,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col
                 yield pa.RecordBatch.from_arrays([part.column("id"), *[part.column(n) for n in names], pa.array(blobs, pa.binary()), pa.array(list(dense), pa.list_(pa.float64()))], ["id", *names, "h", "dense"])
 
     schema = "id long, " + "".join(f"`{n}` int, " for n in names) + "h binary, dense array<double>"
-    # rows with one id share a label: the first text by hash stands for them
-    got = texts.join(F.broadcast(rows), "id").select("id", *names, "text").mapInArrow(cut, schema).collect()
-    seen = {}
-    for r in sorted(got, key=lambda r: (r.id, bytes(r.h))):
-        seen.setdefault(r.id, r)
-    got = list(seen.values())
+    # rows with one id share a label: the first text by hash stands for them (combined in the tasks,
+    # so at most SAMPLE rows come to the driver)
+    one = texts.join(F.broadcast(rows), "id").groupBy("id", *names).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    got = sorted(one.select("id", *names, "text").mapInArrow(cut, schema).collect(), key=lambda r: r.id)
     hashes = [np.frombuffer(r.h, np.uint64) for r in got]
     dense = np.array([r.dense for r in got]).reshape(len(got), 4)
     y = np.array([[r[n] for n in names] for r in got]).reshape(len(got), len(names))
