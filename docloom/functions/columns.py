@@ -286,9 +286,12 @@ def merge_record(old, new, present, schema) -> Column:
     return F.struct(*[F.when(F.array_contains(present, n), new[n]).otherwise(old[n]).alias(n) for n in names])
 
 
+_NATIVE = frozenset("i64 u64 bool string text_stream text_source bytes_stream bytes_source i64_array u64_array bool_array string_array".split())
+
+
 def _native(s: Schema) -> bool:
     """Whether Spark's own expressions encode a schema byte for byte."""
-    return all(f.kind in ("i64", "u64", "bool", "string", "text_stream", "text_source", "bytes_stream", "bytes_source") or (f.kind == "object" and not f.omit and _native(Schema(f.fields))) or (f.kind in ("i64_array", "u64_array", "bool_array", "string_array") and not f.omit) for f in s.fields)
+    return all(_native(Schema(f.fields)) and not f.omit if f.kind in ("object", "object_array") else f.kind in _NATIVE and not (f.omit and f.kind.endswith("_array")) for f in s.fields)
 
 
 def _native_value(f, v: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .. import framing
 from ..functions.columns import ERROR, arrow_type, strings, struct_type
-from ..limits import INVALID_ARGUMENT, JsonError, Limits
+from ..limits import INVALID_ARGUMENT, JsonError, Limits, ok_row
 from ..records import Decoder
 from ..schema import Schema
 from ..strict import as_bytes
@@ -38,7 +38,7 @@ def expand(df: DataFrame, doc: str, keep: list[str], result: T.StructType, rows:
     clash = set(keep) & set(result.fieldNames())
     if clash:
         raise JsonError(INVALID_ARGUMENT, f"columns {sorted(clash)} clash with the operator's; rename them first")
-    kind = pa.struct([pa.field(f.name, arrow_type(f.dataType)) for f in result.fields])
+    kinds = [(f.name, arrow_type(f.dataType)) for f in result.fields]
     width, n = len(keep), len(extra)
 
     def run(batches):
@@ -48,9 +48,9 @@ def expand(df: DataFrame, doc: str, keep: list[str], result: T.StructType, rows:
             at, out = [], []
 
             def flush():
-                body = pa.array(out, kind)
                 cols = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(width)]
-                done = pa.RecordBatch.from_arrays([*cols, *body.flatten()], [*keep, *result.fieldNames()])
+                body = [errors_column([r["error"] for r in out], t) if n == "error" else pa.array([r[n] for r in out], t) for n, t in kinds]
+                done = pa.RecordBatch.from_arrays([*cols, *body], [*keep, *result.fieldNames()])
                 at.clear()
                 out.clear()
                 return done
@@ -70,6 +70,14 @@ def expand(df: DataFrame, doc: str, keep: list[str], result: T.StructType, rows:
     return chosen.mapInArrow(run, T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in keep], *result.fields]))
 
 
+def errors_column(errors: list[dict], kind: pa.DataType) -> pa.Array:
+    """An error column; rows without an error share one value."""
+    n, ok = len(errors), ok_row()
+    if all(e is ok for e in errors):
+        return pa.repeat(pa.scalar(ok, kind), n)
+    return pa.array(errors, kind)
+
+
 def candidates(df: DataFrame, doc: str, keep: list[str] = (), framing_mode: str = framing.AUTO, limits: Limits | None = None, payload: bool = True, max_items: int | None = None, max_payload_bytes: int | None = None) -> DataFrame:
     """index, stream_offset, byte_size, payload, error of each JSON value of a byte stream."""
     value = (limits or Limits()).value

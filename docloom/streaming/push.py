@@ -17,7 +17,7 @@ from ..framing import SseState, array_items, read_header
 from ..limits import INVALID_ARGUMENT, INVALID_JSON, OVERFLOW, TYPE_MISMATCH, JsonError, Limits, ValueLimits
 from ..records import Decoder, Encoder
 from ..schema import Schema
-from ..strict import compact, end_of, only_space_after, skip_space, unescape
+from ..strict import compact, end_of, only_space_after, skip_space, unescape, walk
 
 _NEXT = re.compile(rb'["{}\[\],:]')
 _IN_STRING = re.compile(rb'["\\]')
@@ -134,14 +134,17 @@ class ItemSplitter:
     kept (an "outline" of the document with the array empty) and judged by the pull operator
     when the array begins and at the end, so any cut into chunks gives its rows and errors.
 
-    check(raw) judges an item and gives its row's value; pieces: string items leave in parts as
-    they arrive, as (item, text, whether it ends)."""
+    check(raw) judges an item and gives its row's value. As in the pull operator an item leaves when
+    the next one has begun or the array ends. pieces: string items leave in parts as they arrive,
+    as (item, text, whether it ends)."""
 
     def __init__(self, selector: str = "", max_residual: int = 10 << 20, check=None, pieces: bool = False):
         self.selector, self.scan = selector, _Scanner(max_residual)
         self.check, self.pieces, self.outline = check or _raw_item, pieces, b""
+        self.unique = getattr(self.check, "unique", True)
         self.state = "seek"  # seek, items, after
         self.key, self.base, self.comma, self.item = "", 0, False, 0
+        self.waiting: bytes | None = None
 
     def _outside(self, raw: bytes) -> bytes:
         self.outline += raw
@@ -161,6 +164,8 @@ class ItemSplitter:
         for c, at in s.marks():
             if self.state == "items":
                 if c in b"{[":
+                    if s.depth == self.base and not s.held[s.start : at].strip(_SPACE):
+                        yield from self._release()
                     s.depth += 1
                 elif c == 0x2C and s.depth == self.base:
                     yield from self._item(s.cut(at + 1)[:-1], True)
@@ -172,6 +177,7 @@ class ItemSplitter:
                             raise JsonError(INVALID_JSON, "expected ',' or ']'")
                         if last.strip(_SPACE) or self.comma:
                             yield from self._item(last, False)
+                        yield from self._release()
                         self.state = "after"
                         self._outside(b"]")
                 continue
@@ -213,9 +219,22 @@ class ItemSplitter:
 
     def _item(self, raw: bytes, comma: bool) -> Iterator:
         self.comma = comma
-        got = self.check(raw)
-        yield (self.item, got, True) if self.pieces else got
-        self.item += 1
+        if self.pieces:
+            yield self.item, self.check(raw), True
+            self.item += 1
+            return
+        events = walk(raw, 0, ValueLimits(), self.unique)
+        end = next(events).end
+        yield from self._release()
+        for e in events:
+            end = e.end
+        only_space_after(raw, end)
+        self.waiting = raw
+
+    def _release(self) -> Iterator:
+        raw, self.waiting = self.waiting, None
+        if raw is not None:
+            yield self.check(raw)
 
     def finish(self) -> None:
         if self.state == "items":
@@ -224,29 +243,25 @@ class ItemSplitter:
         self._judge()
 
     def save(self) -> tuple[str, bytes]:
-        state = [self.scan.save(), self.state, self.key, self.base, self.comma, self.item, len(self.outline)]
-        return json.dumps(state), self.outline + self.scan.held
+        state = [self.scan.save(), self.state, self.key, self.base, self.comma, self.item, len(self.outline), None if self.waiting is None else len(self.waiting)]
+        return json.dumps(state), self.outline + (self.waiting or b"") + self.scan.held
 
     def load(self, text: str, held: bytes) -> None:
-        scan, self.state, self.key, self.base, self.comma, self.item, n = json.loads(text)
-        self.outline = held[:n]
-        self.scan.load(scan, held[n:])
-
-
-def _span(raw: bytes, unique: bool) -> bytes:
-    """One strict value with white space around it, without that."""
-    only_space_after(raw, end_of(raw, skip_space(raw, 0), ValueLimits(), unique))
-    return raw.strip(_SPACE)
+        scan, self.state, self.key, self.base, self.comma, self.item, n, more = json.loads(text)
+        self.outline, self.waiting = held[:n], None if more is None else held[n : n + more]
+        self.scan.load(scan, held[n + (more or 0) :])
 
 
 def _raw_item(raw: bytes) -> bytes:
-    return compact(_span(raw, True))
+    return compact(raw.strip(_SPACE))
 
 
 def _string_item(raw: bytes) -> str:
-    raw = _span(raw, True)
+    raw = raw.strip(_SPACE)
+    end = end_of(raw, 0, ValueLimits())
     if raw[:1] != b'"':
         raise JsonError(TYPE_MISMATCH, "selected array item is not a string")
+    only_space_after(raw, end)
     return unescape(raw, 0, len(raw)).decode("utf-8", "replace")
 
 
@@ -400,30 +415,41 @@ def _push(df: DataFrame, key: str, chunk: str, order: str, make, row, fields: st
     return chosen.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, seq long, {fields}, error_code string, error_message string", "saved string, held binary, seq long, over boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def push_objects(df: DataFrame, key: str, chunk: str, order: str, schema, last: str | None = None, limits: Limits | None = None, max_residual: int = 10 << 20) -> DataFrame:
-    """key, seq, record (canonical text of the decoded record), error of object streams."""
+def object_check(schema, limits: Limits | None = None):
+    """Bytes of an object -> canonical text of its record."""
     s = Schema.of(schema)
     decoder, encoder = Decoder(s, limits), Encoder(s)
-    return _push(df, key, chunk, order, lambda: ObjectSplitter(max_residual), lambda raw: (encoder.encode(decoder.decode(raw)[0]),), "record string", last)
+    return lambda raw: encoder.encode(decoder.decode(raw)[0])
+
+
+def item_check(mode: str = "text", schema=None, limits: Limits | None = None):
+    """What ItemSplitter makes of an item."""
+    if mode not in ("text", "strings") or (schema is not None and mode != "text"):
+        raise JsonError(INVALID_ARGUMENT, f"unknown mode {mode}")
+    if schema is None:
+        return _string_item if mode == "strings" else lambda raw: _raw_item(raw).decode("utf-8", "replace")
+    decode = object_check(schema, limits)
+
+    def check(raw: bytes) -> str:
+        raw = raw.strip(_SPACE)
+        if raw[:1] != b"{":
+            raise JsonError(TYPE_MISMATCH, "selected array item is not an object")
+        return decode(raw)
+
+    check.unique = False  # repeated keys are the decoder's matter
+    return check
+
+
+def push_objects(df: DataFrame, key: str, chunk: str, order: str, schema, last: str | None = None, limits: Limits | None = None, max_residual: int = 10 << 20) -> DataFrame:
+    """key, seq, record (canonical text of the decoded record), error of object streams."""
+    check = object_check(schema, limits)
+    return _push(df, key, chunk, order, lambda: ObjectSplitter(max_residual), lambda raw: (check(raw),), "record string", last)
 
 
 def push_items(df: DataFrame, key: str, chunk: str, order: str, selector: str = "", last: str | None = None, max_residual: int = 10 << 20, mode: str = "text", schema=None, limits: Limits | None = None) -> DataFrame:
     """key, seq, value, error of the items of one array of a chunked document. mode "text": the item's
     text; "strings": decoded string items. With a schema: canonical text of the decoded record."""
-    if mode not in ("text", "strings") or (schema is not None and mode != "text"):
-        raise JsonError(INVALID_ARGUMENT, f"unknown mode {mode}")
-    if schema is not None:
-        s = Schema.of(schema)
-        decoder, encoder = Decoder(s, limits), Encoder(s)
-
-        def check(raw: bytes) -> str:
-            raw = _span(raw, False)
-            if raw[:1] != b"{":
-                raise JsonError(TYPE_MISMATCH, "selected array item is not an object")
-            return encoder.encode(decoder.decode(raw)[0])
-
-    else:
-        check = _string_item if mode == "strings" else lambda raw: _raw_item(raw).decode("utf-8", "replace")
+    check = item_check(mode, schema, limits)
     return _push(df, key, chunk, order, lambda: ItemSplitter(selector, max_residual, check), lambda v: (v,), "value string", last)
 
 
