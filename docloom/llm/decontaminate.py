@@ -17,12 +17,14 @@ pair once per row; rows with equal doc_id are judged one by one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import configure, grams, mix, powers, slices, table, text_bytes, words
+from .common import configure, discard, grams, materialize, mix, powers, slices, table, text_bytes, words
 
 SEED = 5
 THRESHOLD = 0.5
@@ -145,25 +147,25 @@ class Block:
         return np.insert(h[at], gaps, mix(gaps.astype(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Block]:
-    """The benchmark in blocks of bounded size; each is collected on its own."""
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[Block, bool]]:
+    """The benchmark in blocks of bounded size, each collected when its turn comes, and whether
+    there are several."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // BLOCK_BYTES) + 1
-    out = []
     for b in range(n):
         part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b).orderBy("id", "text").collect() if total else []
         if part:
-            out.append(Block([r.id for r in part], [r.text for r in part]))
-    return out
+            yield Block([r.id for r in part], [r.text for r in part]), n > 1
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per contaminated (document, item)."""
+    """One row per contaminated (document, item). Of several blocks each one's pairs are written
+    before the next block comes to the driver."""
     spark = configure(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = spark.createDataFrame([], SCHEMA)
-    for block in blocks(benchmark):
+    for block, several in blocks(benchmark):
 
         def find(batches, block=block):
             for batch in batches:
@@ -177,14 +179,17 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                         kinds = [pa.int64()] * 5 + [pa.float64(), pa.bool_()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), kinds)], [f.split()[0] for f in SCHEMA.split(", ")])
 
-        out = out.unionByName(rows.mapInArrow(find, SCHEMA))
+        found = rows.mapInArrow(find, SCHEMA)
+        out = out.unionByName(materialize(found, "op1-pairs") if several else found)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without contaminated rows; one pass, no shuffle."""
+    """docs without contaminated rows; one pass a block, no shuffle. What is left of several blocks is
+    written before the next block comes to the driver."""
     configure(docs.sparkSession)
-    for block in blocks(benchmark):
+    before = None
+    for block, several in blocks(benchmark):
 
         def keep(batches, block=block):
             for batch in batches:
@@ -195,6 +200,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
                     yield part.filter(pa.array(ok))
 
         docs = docs.mapInArrow(keep, docs.schema)
+        if several:
+            docs = materialize(docs, "op1-clean")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
 
 
