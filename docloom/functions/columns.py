@@ -432,7 +432,8 @@ def array_rewrite(c, selector: str, rules: list[Rule] | Callable = (), append=No
     joined by others."""
     parse_array_selector(selector)
     schema = Schema.of(item_schema) if item_schema is not None else None
-    return row_udf(struct_type(text="string", error=ERROR), fallible(lambda d: _text(rewrite_array(d, selector, rules, append, schema, limits)), "text"))(col_of(c))
+    decoder = Decoder(schema, limits) if schema else None
+    return row_udf(struct_type(text="string", error=ERROR), fallible(lambda d: _text(rewrite_array(d, selector, rules, append, schema, limits, decoder)), "text"))(col_of(c))
 
 
 # --- compiled paths ---------------------------------------------------------------------

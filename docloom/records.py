@@ -71,6 +71,17 @@ class Decoder:
         only_space_after(data, end)
         return record, truncated
 
+    def read(self, node, to_bytes) -> dict:
+        """The record of an object that is already a tree (of a document that is UTF-8 and within the
+        depth limit); to_bytes gives the text of a node, which is read again for its failure."""
+        self.truncated = False
+        if type(node) is _Object:
+            try:
+                return self._read(node)
+            except (JsonError, ValueError, RecursionError):
+                pass
+        return self.decode(to_bytes(node))[0]
+
     def decode_at(self, data: bytes, at: int, base: dict | None = None) -> tuple[dict, int, bool]:
         """The object at a position and its end."""
         self.truncated, self.data = False, data
