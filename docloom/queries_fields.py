@@ -314,7 +314,7 @@ def writer_errors(spark, d):
 # --- SQL table functions --------------------------------------------------------------------
 
 
-@query("SELECT event_id, 'items' AS f, v AS n, v::VARCHAR AS value FROM events, unnest([0, 1]) AS x(v) WHERE event_id % 5 = 0 UNION ALL SELECT event_id, 'candidates', v, '[' || v || ']' FROM events, unnest([0, 1]) AS x(v) WHERE event_id % 5 = 0 UNION ALL SELECT event_id, 'leaves', 0, json_extract_string(props, '$.k') FROM events WHERE event_id % 5 = 0 UNION ALL SELECT event_id, 'events', v, (['object_begin','key','number','object_end'])[v + 1] FROM events, unnest([0, 1, 2, 3]) AS x(v) WHERE event_id % 5 = 0 UNION ALL SELECT event_id, 'sse', 0, replace(props, ' ', '') FROM events WHERE event_id % 5 = 0 UNION ALL SELECT event_id, 'chunks', v, (['ab','c'])[v + 1] FROM events, unnest([0, 1]) AS x(v) WHERE event_id % 5 = 0 UNION ALL SELECT event_id, 'parts', 0, 'a' FROM events WHERE event_id % 5 = 0".replace(" WHERE event_id % 5 = 0", ""))
+@query("SELECT event_id, f, n::BIGINT AS n, value FROM (SELECT event_id, 'items' AS f, v AS n, v::VARCHAR AS value FROM events, unnest([0, 1]) AS x(v) UNION ALL SELECT event_id, 'candidates', v, '[' || v || ']' FROM events, unnest([0, 1]) AS x(v) UNION ALL SELECT event_id, 'leaves', 0, json_extract_string(props, '$.k') FROM events UNION ALL SELECT event_id, 'events', v, (['object_begin','key','number','object_end'])[v + 1] FROM events, unnest([0, 1, 2, 3]) AS x(v) UNION ALL SELECT event_id, 'sse', 0, replace(props, ' ', '') FROM events UNION ALL SELECT event_id, 'chunks', v, (['ab','c'])[v + 1] FROM events, unnest([0, 1]) AS x(v) UNION ALL SELECT event_id, 'parts', 0, 'a' FROM events)")
 def table_functions(spark, d):
     """Every operator as a SQL table function."""
     O.register(spark)
