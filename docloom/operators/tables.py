@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import batch as many
 from .. import framing
 from ..functions.columns import ERROR, arrow_type, strings, struct_type
 from ..limits import INVALID_ARGUMENT, JsonError, Limits, ok_row
@@ -32,17 +33,34 @@ CHUNK = struct_type(chunk_no="bigint", bytes="binary", eof="boolean")
 ITEM = struct_type(index="bigint", value="string", error=ERROR)
 
 
-def expand(df: DataFrame, doc: str, keep: list[str], result: T.StructType, rows: Callable[..., Iterator[dict]], extra: tuple[str, ...] = ()) -> DataFrame:
+def expand(df: DataFrame, doc: str, keep: list[str], result: T.StructType, rows: Callable[..., Iterator[dict]], extra: tuple[str, ...] = (), at_once: Callable | None = None) -> DataFrame:
     """keep columns + the fields of each row that rows(document bytes, *extra values) yields;
-    null documents give no rows."""
+    null documents give no rows. at_once: a function of many documents (accepted ones, row of the
+    document of each result, columns but the error); the ones that it does not accept follow."""
     clash = set(keep) & set(result.fieldNames())
     if clash:
         raise JsonError(INVALID_ARGUMENT, f"columns {sorted(clash)} clash with the operator's; rename them first")
     kinds = [(f.name, arrow_type(f.dataType)) for f in result.fields]
     width, n = len(keep), len(extra)
 
+    def together(batch):
+        """The batches of the accepted documents, then the rows that are left."""
+        docs = many.binary(batch.column(width))
+        left = []
+        for first, end in many.parts(many.lengths_of(docs)):
+            ok, at, columns = at_once(docs.slice(first, end - first))
+            left += [first + i for i in range(end - first) if not ok[i]] if not ok.all() else []
+            columns = [c if c.type == t else c.cast(t) for c, (_, t) in zip(columns, kinds)]
+            for a in range(0, len(at), 16 * BATCH):
+                rows_ = pa.array(at[a : a + 16 * BATCH] + first)
+                error = errors_column([ok_row()] * len(rows_), kinds[-1][1])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(rows_) for i in range(width)], *[c.slice(a, 16 * BATCH) for c in columns], error], [*keep, *result.fieldNames()])
+        return batch.take(pa.array(left, pa.int64())) if len(left) < batch.num_rows else batch
+
     def run(batches):
         for batch in batches:
+            if at_once:
+                batch = yield from together(batch)
             docs = strings(batch.column(width))
             others = [batch.column(width + 1 + i).to_pylist() for i in range(n)]
             at, out = [], []
@@ -98,25 +116,35 @@ def object_stream(df: DataFrame, doc: str, schema, keep: list[str] = (), limits:
 
 def array_items(df: DataFrame, doc: str, selector: str = "", keep: list[str] = (), schema=None, limits: Limits | None = None, strings_only: bool = False, max_items: int | None = None) -> DataFrame:
     """index, value (or record, with a schema), error of the items of one array."""
-    value = (limits or Limits()).value
+    limits = limits or Limits()
+    value = limits.value
+    whole = not strings_only and max_items is None and not set(selector or "") & set(".[")
     if schema is None:
         pick = lambda r: {k: r[k] for k in ("index", "value", "error")}
-        return expand(df, doc, list(keep), ITEM, lambda d: map(pick, framing.array_items(d, selector, None, value, max_items, strings_only)))
+        return expand(df, doc, list(keep), ITEM, lambda d: map(pick, framing.array_items(d, selector, None, value, max_items, strings_only)), at_once=(lambda d: many.item_rows(d, selector, None, limits)) if whole else None)
     result, s = _with_record(struct_type(index="bigint", error=ERROR), schema)
     decoder = Decoder(s, limits)
-    return expand(df, doc, list(keep), result, lambda d: ({k: r[k] for k in ("index", "record", "error")} for r in framing.array_items(d, selector, decoder, value, max_items)))
+    return expand(df, doc, list(keep), result, lambda d: ({k: r[k] for k in ("index", "record", "error")} for r in framing.array_items(d, selector, decoder, value, max_items)), at_once=(lambda d: many.item_rows(d, selector, s, limits)) if whole and many.plain_schema(s.fields) else None)
 
 
 def json_events(df: DataFrame, doc: str, keep: list[str] = (), with_path: bool = True, limits: Limits | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
     """seq, event, depth, text, path, error of each structural event."""
     value = (limits or Limits()).value
-    return expand(df, doc, list(keep), EVENT, lambda d: framing.events(d, with_path, value, only))
+    return expand(df, doc, list(keep), EVENT, lambda d: framing.events(d, with_path, value, only), at_once=lambda d: many.event_rows(d, value, with_path, only, False))
 
 
 def json_leaves(df: DataFrame, doc: str, keep: list[str] = (), limits: Limits | None = None) -> DataFrame:
     """seq, path, type, text, error of each scalar."""
     value = (limits or Limits()).value
-    return expand(df, doc, list(keep), LEAF, lambda d: framing.leaves(d, value))
+    return expand(df, doc, list(keep), LEAF, lambda d: framing.leaves(d, value), at_once=leaf_rows(value))
+
+
+def leaf_rows(value) -> Callable:
+    def rows(docs):
+        ok, at, (seq, kind, _, text, path) = many.event_rows(docs, value, True, framing.SCALAR_EVENTS, True)
+        return ok, at, [seq, path, kind, text]
+
+    return rows
 
 
 def sse_events(df: DataFrame, doc: str, keep: list[str] = (), limits: Limits | None = None) -> DataFrame:
