@@ -11,7 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .limits import Limits, ValueLimits
+from .limits import INVALID_ARGUMENT, JsonError, Limits, ValueLimits
+from .records import _QUOTED_TEXT
+from .rewriting import DROP, KEEP, REPLACE, Action, Context, as_raw, plain, read_tree
 from .schema import Schema
 
 #: Bytes of texts read together; a longer text goes to the row tokenizer.
@@ -427,3 +429,261 @@ def event_rows(docs: pa.Array, limits: ValueLimits, with_path: bool, only: tuple
         pa.array(seq), _EVENT_NAMES.take(pa.array(kind[chosen])), pa.array(tokens.depth[chosen].astype(np.int32)),
         tokens.texts(chosen, pa.string(), named), _paths(tokens, chosen) if with_path else pa.nulls(len(chosen), pa.list_(pa.string())),
     ]
+
+
+# --- rewriting ----------------------------------------------------------------------------
+
+_PLAIN = (str, int, float, bool, type(None))
+
+
+class Rewriting:
+    """array_rewrite of many documents: arrays are found and texts put together by vector operations, rules
+    are judged once for each different value. accepts() says whether the arguments are for here."""
+
+    def __init__(self, segments: list[tuple[str, bool]], rules, append, schema: Schema | None, limits: Limits):
+        self.segments, self.rules, self.schema, self.limits = segments, rules, schema, limits
+        self.free = callable(rules)
+        self.fit = not callable(append) and not (self.free and len(segments) > 1)
+        if schema:
+            self.fit &= plain_schema(schema.fields) and limits.max_depth >= limits.value.max_depth
+        if not self.fit:
+            return
+        try:
+            self.more = [as_raw(v, schema) for v in append or ()]
+            self.actions = [] if self.free else [self._parts(r.action) for r in rules]
+            for text in self.more + [x for parts in self.actions for x in parts if x is not None]:
+                text.encode()
+        except (JsonError, UnicodeEncodeError):
+            self.fit = False  # an error of the documents that come to it
+        if not self.free:
+            self.fit &= all(isinstance(v, _PLAIN) for r in rules for v in [*r.where.values(), *r.parent.values()])
+
+    def _parts(self, a: Action) -> list[str | None]:
+        """The texts that an item becomes, None for itself."""
+        if a.kind not in (KEEP, DROP, REPLACE):
+            raise JsonError(INVALID_ARGUMENT, f"unknown action {a.kind}")
+        own = [None] if a.kind == KEEP else [as_raw(a.replacement, self.schema)] if a.kind == REPLACE else []
+        return [as_raw(v, self.schema) for v in a.before] + own + [as_raw(v, self.schema) for v in a.after]
+
+    def rows(self, docs: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """(accepted, rows of the accepted documents, their new texts)."""
+        tokens = Tokens(docs, self.limits.value)
+        arrays, inside = self._arrays(tokens)
+        items = np.flatnonzero(_among(tokens, arrays)[tokens.parent] & tokens.is_value())
+        record = tokens.records(items, self.schema, self.limits) if self.schema else None
+        stay = tokens.ok[tokens.doc[items]]
+        if not stay.all():
+            items = items[stay]
+            record = record.filter(pa.array(stay)) if record is not None else None
+        data, at = tokens.compacted()
+        close = tokens.close_of()
+        begin, end = at[tokens.begin[items]], at[tokens.end[close[items]]]
+        made = self._free(tokens, items, record, data, begin, end) if self.free else self._ruled(tokens, items, record, inside)
+        left = tokens.ok[tokens.doc[arrays]]
+        arrays = arrays[left]
+        if not len(arrays):
+            tokens.ok[:] = False
+            return tokens.ok, np.empty(0, np.int64), pa.array([], pa.string())
+        which, own, text, pool = made
+        number = np.full(len(tokens.kind) + 1, -1, np.int64)
+        number[arrays] = np.arange(len(arrays))
+        array = number[tokens.parent[items[which]]]
+        # pieces of one buffer: the documents, the new texts, a comma
+        pool = pa.array([*pool, *self.more, ","], pa.large_string())
+        bodies, edges = _bytes(pool.cast(pa.large_binary()))
+        edges = edges + len(data)
+        whole = np.concatenate([data, bodies])
+        first = np.where(own, begin[which], edges[text])[array >= 0]
+        last = np.where(own, end[which], edges[text + 1])[array >= 0]
+        array = array[array >= 0]
+        if self.more:
+            k, n = len(self.more), len(pool) - 1 - len(self.more)
+            array = np.concatenate([array, np.repeat(np.arange(len(arrays)), k)])
+            first = np.concatenate([first, np.tile(edges[n : n + k], len(arrays))])
+            last = np.concatenate([last, np.tile(edges[n + 1 : n + k + 1], len(arrays))])
+            order = np.argsort(array, kind="stable")
+            array, first, last = array[order], first[order], last[order]
+        count = np.bincount(array, minlength=len(arrays))
+        place = np.arange(len(array)) - np.repeat(np.cumsum(count) - count, count)
+        doc = tokens.doc[arrays]
+        ends_doc = np.r_[doc[1:] != doc[:-1], True]
+        starts_doc = np.r_[True, ends_doc[:-1]]
+        pieces = 1 + count + np.maximum(count - 1, 0) + ends_doc
+        start = np.cumsum(pieces) - pieces
+        root = np.full(len(docs), -1, np.int64)
+        top = np.flatnonzero((tokens.depth == 0) & tokens.is_value())
+        root[tokens.doc[top]] = top
+        a, b = np.empty(pieces.sum(), np.int64), np.empty(pieces.sum(), np.int64)
+        shut = at[tokens.begin[close[arrays]]]
+        a[start] = np.where(starts_doc, at[tokens.begin[root[doc]]], np.r_[0, shut[:-1]])
+        b[start] = at[tokens.end[arrays]]
+        a[start[array] + 1 + 2 * place], b[start[array] + 1 + 2 * place] = first, last
+        later = (start[array] + 2 * place)[place > 0]
+        a[later], b[later] = edges[-2], edges[-1]
+        tail = (start + pieces - 1)[ends_doc]
+        a[tail], b[tail] = shut[ends_doc], at[tokens.end[close[root[doc[ends_doc]]]]]
+        size = np.add.reduceat(b - a, start[starts_doc])
+        ends = np.cumsum(size)
+        return tokens.ok, doc[ends_doc], slices(whole[ranges(a, b - a)], ends - size, ends)
+
+    def _arrays(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """The selected arrays, and for each token the object of a selected array that it is (-1 elsewhere);
+        texts in which the selector fails are rejected."""
+        nodes = np.flatnonzero((tokens.depth == 0) & tokens.is_value())
+        inside = np.full(len(tokens.kind) + 1, -1, np.int64)
+        for name, fan in self.segments:
+            nodes = nodes[tokens.kind[nodes] == OPEN_OBJECT]
+            found = np.flatnonzero(_among(tokens, nodes)[tokens.parent] & (tokens.member == tokens.find(name)))
+            inside = np.full(len(tokens.kind) + 1, -1, np.int64)
+            inside[found] = tokens.parent[found]
+            if fan:
+                tokens.reject(found[tokens.kind[found] != OPEN_ARRAY])
+                found = np.flatnonzero(_among(tokens, found)[tokens.parent] & tokens.is_value())
+            nodes = found
+        tokens.reject(nodes[tokens.kind[nodes] != OPEN_ARRAY])
+        has = np.zeros(len(tokens.ok), bool)
+        has[tokens.doc[nodes]] = True
+        tokens.ok &= has
+        return nodes[tokens.kind[nodes] == OPEN_ARRAY], inside
+
+    def _ruled(self, tokens: Tokens, items: np.ndarray, record, inside: np.ndarray):
+        """(item, whether it is the item itself, number in the pool) of each new item, and the pool."""
+        choice = np.full(len(items), len(self.rules), np.int64)
+        for r in range(len(self.rules) - 1, -1, -1):
+            rule, meets = self.rules[r], np.ones(len(items), bool)
+            if rule.where and record is None:
+                meets &= tokens.kind[items] == OPEN_OBJECT
+            for k, v in rule.where.items():
+                if record is None:
+                    meets &= _equal(tokens, _members(tokens, items, k), v)
+                elif k in record.type.names:
+                    meets &= _same(record.field(k), v)
+                else:
+                    meets &= v is None
+            arrays = tokens.parent[items]
+            for k, v in rule.parent.items():
+                if len(self.segments) <= 1:
+                    meets &= v is None
+                    continue
+                got = _members(tokens, inside[arrays], k)
+                meets &= _equal(tokens, np.where(got < arrays, got, -1), v)
+            choice[meets] = r
+        parts = [*self.actions, [None]]
+        pool = [x for p in parts for x in p if x is not None]
+        most = max(map(len, parts))
+        own, text = np.zeros((len(parts), most + 1), bool), np.zeros((len(parts), most + 1), np.int64)
+        n = 0
+        for i, p in enumerate(parts):
+            for j, x in enumerate(p):
+                own[i, j], text[i, j] = x is None, 0 if x is None else n
+                n += x is not None
+        count = np.array([len(p) for p in parts])[choice]
+        which = np.repeat(np.arange(len(items)), count)
+        j = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        return which, own[choice[which], j], text[choice[which], j], pool
+
+    def _free(self, tokens: Tokens, items: np.ndarray, record, data: np.ndarray, begin: np.ndarray, end: np.ndarray):
+        """The same by calls."""
+        if record is not None:
+            names = record.type.names
+            values = [dict(zip(names, v)) for v in zip(*(c.to_pylist() for c in record.flatten()))]
+        else:
+            values = [plain(read_tree(x)) for x in slices(data, begin, end).to_pylist()]
+        which, text, new = [], [], []
+
+        def put(i: int, values) -> None:
+            for v in values:
+                which.append(i)
+                text.append(len(new))
+                new.append(v)
+
+        for i, (value, index) in enumerate(zip(values, _places(tokens, items).tolist())):
+            try:
+                a = self.rules(value, Context(index))
+            except (JsonError, RecursionError):
+                tokens.reject(items[i : i + 1])
+                continue
+            put(i, a.before)
+            if a.kind == REPLACE:
+                put(i, (a.replacement,))
+            elif a.kind == KEEP:
+                which.append(i)
+                text.append(-1)
+            elif a.kind != DROP:
+                tokens.reject(items[i : i + 1])
+            put(i, a.after)
+        which, text = np.array(which, np.int64), np.array(text, np.int64)
+        pool = self._texts(new)
+        failed = np.flatnonzero([x is None for x in pool])
+        if len(failed):
+            tokens.reject(items[which[np.isin(text, failed)]])
+            pool = [x or "" for x in pool]
+        return which, text < 0, np.maximum(text, 0), pool
+
+    def _texts(self, values: list) -> list[str | None]:
+        """The texts of new items, None for those that fail. Records of integers and strings are written
+        field by field."""
+        out = [None] * len(values)
+        fields = self.schema.fields if self.schema else ()
+        if fields and all(f.kind in ("i64", "string") and not f.presence and not f.omit for f in fields):
+            rows = [i for i, v in enumerate(values) if type(v) is dict]
+            quoted: dict = {}
+            members = []
+            for f in fields:
+                column = [values[i].get(f.name) for i in rows]
+                if f.kind == "i64":
+                    members.append([str(v) if type(v) is int else None for v in column])
+                    continue
+                for v in {v for v in column if type(v) is str}:
+                    quoted[v] = None if _QUOTED_TEXT.search(v) else f'"{v}"'
+                members.append([quoted[v] if type(v) is str else None for v in column])
+            form = "{" + ",".join(f.label.replace("%", "%%") + ":%s" for f in fields) + "}"
+            most = Limits().max_output_bytes // 4
+            for i, m in zip(rows, zip(*members)):
+                if None not in m and len(text := form % m) <= most:
+                    out[i] = text
+        for i, v in enumerate(values):
+            if out[i] is None:
+                try:
+                    text = as_raw(v, self.schema)
+                    text.encode()
+                    out[i] = text
+                except (JsonError, RecursionError, UnicodeEncodeError):
+                    pass
+        return out
+
+
+def _among(tokens: Tokens, chosen: np.ndarray) -> np.ndarray:
+    """Whether each token (and, last, none) is one of the chosen."""
+    out = np.zeros(len(tokens.kind) + 1, bool)
+    out[chosen] = True
+    return out
+
+
+def _members(tokens: Tokens, objects: np.ndarray, name: str) -> np.ndarray:
+    """The member of this name of each object, -1 where there is none."""
+    of = np.full(len(tokens.kind) + 1, -1, np.int64)
+    hit = np.flatnonzero(tokens.member == tokens.find(name))
+    of[tokens.parent[hit]] = hit
+    of[-1] = -1
+    return of[objects]
+
+
+def _same(column: pa.Array, value) -> np.ndarray:
+    """Python's equality of each value, asked once for each different one; lists equal no plain value."""
+    if pa.types.is_nested(column.type):
+        return np.zeros(len(column), bool)
+    coded = column.dictionary_encode()
+    equal = np.array([*(x == value for x in coded.dictionary.to_pylist()), value is None], bool)
+    return equal[pc.fill_null(coded.indices, len(equal) - 1).to_numpy(zero_copy_only=False)]
+
+
+def _equal(tokens: Tokens, members: np.ndarray, value) -> np.ndarray:
+    """The same for members of documents; -1 is None."""
+    there = members >= 0
+    got = members[there]
+    out = np.full(len(members), value is None)
+    coded = slices(tokens.data, tokens.begin[got], tokens.end[got]).dictionary_encode()
+    equal = np.array([x not in ("{", "[") and plain(read_tree(x)) == value for x in coded.dictionary.to_pylist()], bool)
+    out[there] = equal[coded.indices.to_numpy(zero_copy_only=False)] if len(got) else False
+    return out

@@ -8,12 +8,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .. import batch as many
 from ..limits import INTERNAL_ERROR, INVALID_ARGUMENT, STATUSES, JsonError, Limits, ok_row
 from ..records import Decoder, Encoder
 from ..records import encode_any as any_text
@@ -433,7 +435,31 @@ def array_rewrite(c, selector: str, rules: list[Rule] | Callable = (), append=No
     parse_array_selector(selector)
     schema = Schema.of(item_schema) if item_schema is not None else None
     decoder = Decoder(schema, limits) if schema else None
-    return row_udf(struct_type(text="string", error=ERROR), fallible(lambda d: _text(rewrite_array(d, selector, rules, append, schema, limits, decoder)), "text"))(col_of(c))
+    result = struct_type(text="string", error=ERROR)
+    one = fallible(lambda d: _text(rewrite_array(d, selector, rules, append, schema, limits, decoder)), "text")
+    together = many.Rewriting(parse_array_selector(selector), rules, append, schema, limits or Limits())
+    if not together.fit:
+        return row_udf(result, one)(col_of(c))
+    kind = arrow_type(result)
+
+    def run(column: pa.Array) -> pa.Array:
+        docs = many.binary(column)
+        left, at, texts = np.ones(len(docs), bool), [np.empty(0, np.int64)], [pa.array([], pa.string())]
+        for first, end in many.parts(many.lengths_of(docs)):
+            ok, rows, made = together.rows(docs.slice(first, end - first))
+            left[first:end] = ~ok
+            at.append(rows + first)
+            texts.append(made)
+        text = pa.concat_arrays(texts)
+        done = pa.StructArray.from_arrays([text, pa.repeat(pa.scalar(ok_row(), kind.field(1).type), len(text))], fields=list(kind))
+        if not left.any():
+            return done
+        rest = np.flatnonzero(left)
+        slow = pa.array([None if d is None else one(d) for d in docs.take(pa.array(rest)).to_pylist()], kind)
+        return pa.concat_arrays([done, slow]).take(pa.array(np.argsort(np.concatenate([*at, rest]), kind="stable")))
+
+    run.__annotations__ = {}
+    return F.arrow_udf(run, result)(col_of(c))
 
 
 # --- compiled paths ---------------------------------------------------------------------

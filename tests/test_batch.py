@@ -7,9 +7,10 @@ import pytest
 
 from docloom import batch, framing
 from docloom import schema as S
-from docloom.limits import Limits, ValueLimits
+from docloom.limits import JsonError, Limits, ValueLimits
 from docloom.operators.tables import leaf_rows
 from docloom.records import Decoder
+from docloom.rewriting import Context, Rule, array_rewrite, drop, insert_after, insert_before, parse_array_selector, replace, replace_and_insert_after
 
 ITEM = S.schema(S.i64("id", required=True), S.string("label"), S.object_array("sub", S.i64("n"), S.string("t")))
 PIECES = ["{", "}", "[", "]", ",", ":", " ", "\n", '"a"', '"items"', '"id"', '"label"', '"é"', "1", "-7", "1.5e3", "01", "true", "null", "nul", '"', "\\", '"\\n"', "\x01", '{"id":1}', '{"items":[{"id":2}]}', '"sub":[{"n":1},{}]']
@@ -68,3 +69,47 @@ def test_common_documents_are_accepted():
     docs = [f'{{"id": {i}, "items": [{{"id":{i},"label":"l{i}","sub":[]}}, {{"id":0}}]}}'.encode() for i in range(500)]
     assert batch.item_rows(pa.array(docs, pa.large_binary()), "items", ITEM, Limits())[0].all()
     assert batch.event_rows(pa.array(docs, pa.large_binary()), ValueLimits(), True, None, False)[0].all()
+
+
+def by_item(item, context: Context):
+    if isinstance(item, dict) and item.get("id") == 2:
+        return replace({"id": context.index, "label": 'q"é'})
+    return drop() if item == 1 else insert_before({"id": 5}) if context.index == 1 else replace_and_insert_after({"id": 3}, {"id": 4}, {"id": 6})
+
+
+@pytest.mark.parametrize("schema", [None, ITEM])
+@pytest.mark.parametrize("selector", ["items", "", "a.items", "items[].sub", "a[].items"])
+def test_rewriting_is_the_same(selector, schema):
+    first = {"id": 9, "label": "new"}
+    rules = [Rule(drop(), {"id": 1}), Rule(insert_after(first, {"id": 8}), {"label": None}, {}), Rule(replace(first), {"id": 2.0}, {"label": "x"}), Rule(drop(), {}, {"id": 1})]
+    more = ['{"a":{"x":1,"items":[{"id":1},{"id":7}]}}', '{"a":[{"id":1,"items":[ {"id":4,"label":"x"} ]},{"items":[]},7,{"label":"x","items":[{"id":2,"label":"y"}],"id":1}]}', '{"items":[{"id":1,"label":"x","sub":[{"id":2,"label":"z"},{"id":3}]},{"sub":[{"id":1}],"id":1}]}', "[]", '[{"id":2,"label":"x"},1]']
+    docs = texts() + [m.encode() for m in more * 3]
+    limits, accepted = Limits(), 0
+    for given, append in ((rules, None), (rules[1:], [first]), (by_item, [first, {"id": 0}])):
+        whole = batch.Rewriting(parse_array_selector(selector), given, append, schema, limits)
+        assert whole.fit == (given is rules or given != by_item or len(selector.split(".")) < 2)
+        for start in range(0, len(docs) * whole.fit, 1000):
+            part = docs[start : start + 1000]
+            ok, rows, made = whole.rows(pa.array(part, pa.large_binary()))
+            assert rows.tolist() == [i for i in range(len(part)) if ok[i]]
+            accepted += len(rows)
+            for i, text in zip(rows.tolist(), made.to_pylist()):
+                assert text == array_rewrite(part[i], selector, given, append, schema, limits).decode(), part[i]
+    assert accepted > 5
+
+
+def test_common_documents_are_rewritten_together():
+    docs = pa.array([f'{{"id": {i}, "items": [{{"id":{i % 3},"label":"l{i}","sub":[]}}, {{"id":0}}]}}'.encode() for i in range(500)], pa.large_binary())
+    for schema in (None, ITEM):
+        for rules in ([Rule(drop(), {"id": 1})], by_item):
+            assert batch.Rewriting([("items", False)], rules, [{"id": 1}], schema, Limits()).rows(docs)[0].all()
+
+
+def test_a_failing_call_leaves_its_document_to_the_row_path():
+    def refuse(item, context):
+        if item["id"] == 1:
+            raise JsonError("invalid_argument", "no")
+        return replace(item)
+
+    ok, rows, made = batch.Rewriting([("items", False)], refuse, None, ITEM, Limits()).rows(pa.array([b'{"items":[{"id":1}]}', b'{"items":[{"id":2,"label":"a"}]}'], pa.large_binary()))
+    assert ok.tolist() == [False, True] and rows.tolist() == [1] and made.to_pylist() == ['{"items":[{"id":2,"label":"a","sub":[]}]}']
