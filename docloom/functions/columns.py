@@ -131,14 +131,16 @@ def json_typeof(c) -> Column:
 
 
 def json_quote(c) -> Column:
-    """A JSON string token of a string column: Spark's own writer, with control characters that
-    it writes in upper case done character by character (those texts only)."""
+    """A JSON string token of a string column: printable ASCII without escapes as it is, else Spark's
+    own writer, with control characters that it writes in upper case done character by character
+    (those texts only)."""
     c = col_of(c).cast("string")
+    clean = c.rlike("^[ !#-\\[\\]-~]*\\z")
     whole = F.to_json(F.struct(c.alias("v")))
     easy = F.substring(whole, F.lit(6), F.char_length(whole) - 6)
     odd = F.array_join(F.transform(F.split(c, ""), _quote_char), "")
     hard = F.concat(F.lit('"'), odd, F.lit('"'))
-    return F.when(c.isNull(), F.lit("null")).when(c.rlike("[\\x0b\\x0e\\x0f\\x1a-\\x1f]"), hard).otherwise(easy)
+    return F.when(c.isNull(), F.lit("null")).when(clean, F.concat(F.lit('"'), c, F.lit('"'))).when(c.rlike("[\\x0b\\x0e\\x0f\\x1a-\\x1f]"), hard).otherwise(easy)
 
 
 def _quote_char(ch: Column) -> Column:
@@ -331,14 +333,19 @@ def encode(record, schema, limits: Limits | None = None, pretty: bool = False, n
     if native is None:
         native = not pretty and _native(s)
     if native:
-        text = F.when(record.isNotNull(), _native_object(s.fields, record))
-        big = F.octet_length(text) > limits.max_output_bytes
+        whole = F.when(record.isNotNull(), _native_object(s.fields, record))
         none = F.lit(None)
-        error = F.struct(
-            F.when(big, F.lit("overflow")).otherwise(F.lit("ok")).alias("code"), none.cast("bigint").alias("line"), none.cast("bigint").alias("column"),
-            none.cast("bigint").alias("offset"), F.lit(False).alias("truncated"), F.when(big, F.lit("output is larger than allowed")).alias("message"),
-        )
-        return F.struct(F.when(~big, text).alias("text"), error.alias("error"))
+
+        def checked(text: Column) -> Column:
+            big = F.octet_length(text) > limits.max_output_bytes
+            error = F.struct(
+                F.when(big, F.lit("overflow")).otherwise(F.lit("ok")).alias("code"), none.cast("bigint").alias("line"), none.cast("bigint").alias("column"),
+                none.cast("bigint").alias("offset"), F.lit(False).alias("truncated"), F.when(big, F.lit("output is larger than allowed")).alias("message"),
+            )
+            return F.struct(F.when(~big, text).alias("text"), error.alias("error"))
+
+        # in a lambda, so that the text is made once
+        return F.get(F.transform(F.array(whole), checked), F.lit(0))
     encoder = Encoder(s, limits, pretty)
     kind = struct_type(text="string", error=ERROR)
 

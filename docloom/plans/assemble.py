@@ -16,7 +16,7 @@ def object_of(**members) -> Column:
 
 
 def _ordered(order, text) -> Column:
-    rows = F.array_sort(F.collect_list(F.struct(col_of(order).alias("o"), col_of(text).alias("t"))))
+    rows = F.sort_array(F.collect_list(F.struct(col_of(order).alias("o"), col_of(text).alias("t"))))
     return F.transform(rows, lambda r: r["t"])
 
 

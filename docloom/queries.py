@@ -206,11 +206,11 @@ def text_chunks(spark, d):
 def _order_docs(spark, d) -> DataFrame:
     """(o_orderkey, doc): each order with its line items."""
     li = t(spark, d, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").cast("long").alias("line"), F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag"), F.col("l_suppkey").alias("sup")).alias("i"))
-    li = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("i")).alias("items"))
-    li = li.withColumn("items", F.transform("items", lambda i: F.struct(i["line"].alias("line"), i["part"].alias("part"), i["flag"].alias("flag"))))
+    li = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("i")).alias("items"))
     o = t(spark, d, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"))
-    row = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), "items")
-    return o.select("o_orderkey", J.encode(row, ORDER).text.alias("doc"), row.alias("typed"))
+    items = F.transform("items", lambda i: F.struct(i["line"].alias("line"), i["part"].alias("part"), i["flag"].alias("flag")))
+    row, typed = (F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), x.alias("items")) for x in (F.col("items"), items))
+    return o.select("o_orderkey", J.encode(row, ORDER).text.alias("doc"), typed.alias("typed"))
 
 
 _SORTED = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_suppkey)"
@@ -222,12 +222,12 @@ def object_stream(spark, d):
     s = S.schema(S.i64("id", required=True), S.string("status"))
     doc = J.encode(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")), s).text
     o = t(spark, d, "orders").select("o_custkey", "o_orderkey", doc.alias("one"))
-    o = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "one"))), lambda x: x["one"]), "").alias("doc"))
+    o = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "one"))), lambda x: x["one"]), "").alias("doc"))
     return O.object_stream(o, "doc", s, ["o_custkey"]).select("o_custkey", "seq", "record.id", "record.status")
 
 
 def _user_streams(spark, d, sep: str, around: str = "{}") -> DataFrame:
-    e = t(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "props"))), lambda x: x["props"]), sep).alias("doc"))
+    e = t(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "props"))), lambda x: x["props"]), sep).alias("doc"))
     a, b = around.split("{}")
     return e.select("user_id", F.concat(F.lit(a), "doc", F.lit(b)).alias("doc"))
 
@@ -359,7 +359,7 @@ def _sse_docs(spark, d) -> DataFrame:
     c = t(spark, d, "conversations")
     data = F.regexp_replace(F.coalesce("text", F.lit("")), "\r?\n|\r", "\ndata: ")
     one = F.concat(F.lit("event: "), "role", F.lit("\nid: "), F.col("turn").cast("string"), F.lit("\nretry: 1500\ndata: "), data, F.lit("\n\n"))
-    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", one.alias("e")))), lambda x: x["e"]), ": keep-alive\n").alias("doc"))
+    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", one.alias("e")))), lambda x: x["e"]), ": keep-alive\n").alias("doc"))
 
 
 @query("SELECT conv_id, turn::VARCHAR AS id, role AS event, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS data, 1500::BIGINT AS retry FROM conversations")

@@ -183,3 +183,13 @@ def test_streams(spark, tmp_path):
     assert [(r.key, r.record, r.error_code) for r in objects] == [("e", None, "type_mismatch"), ("o", '{"id":1,"label":"x"}', None), ("o", '{"id":2,"label":null}', None)]
     assert [r.value for r in items] == ["1", '{"a":2}']
     assert [(r.event, r.data) for r in sse] == [("x", "ab"), ("", "c")]
+
+
+def test_an_encoded_text_is_made_once(spark):
+    df = spark.createDataFrame([(1, "plain"), (2, 'q"\\ é\x7f\x0b\n'), (3, None), (4, "")], "k long, s string")
+    text = J.encode(F.struct("k", "s"), S.schema(S.i64("k"), S.string("s"))).text
+    out = df.select(text.alias("doc"), J.json_quote("s").alias("q"))
+    assert df.select(text.alias("doc"))._jdf.queryExecution().optimizedPlan().toString().count("StructsToJson") == 2
+    assert [tuple(r) for r in out.collect()] == [
+        ('{"k":1,"s":"plain"}', '"plain"'), ('{"k":2,"s":"q\\"\\\\ é\x7f\\u000b\\n"}', '"q\\"\\\\ é\x7f\\u000b\\n"'), ('{"k":3,"s":null}', "null"), ('{"k":4,"s":""}', '""')
+    ]
