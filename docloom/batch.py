@@ -7,6 +7,10 @@ tokenizer, which decides and finds the position of the failure."""
 
 from __future__ import annotations
 
+import json
+from itertools import chain
+from operator import itemgetter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -364,7 +368,117 @@ def _places(tokens: Tokens, items: np.ndarray) -> np.ndarray:
     return out
 
 
+def _odd(text: str):
+    raise ValueError(text)
+
+
+#: Integers become ints; a fraction, an exponent or NaN raises ValueError.
+_load = json.JSONDecoder(parse_float=_odd, parse_constant=_odd).decode
+_dump = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+#: A longer text is not for the C scanner here: one value of it could be beyond a limit.
+SHORT = 1 << 16
+
+
+class Flat:
+    """Documents as the C scanner reads them: an object whose selected member is an array of flat objects
+    with the same members. It accepts only what Tokens would accept, with the same result: no escapes,
+    fractions or exponents, and as many colons as members, so that no key stands twice, no string has a
+    colon and no other object is inside."""
+
+    def __init__(self, selector: str, schema: Schema | None, limits: Limits):
+        v = limits.value
+        self.selector, self.names, self.kinds = selector, None, None
+        depth = min(limits.max_depth, v.max_depth) if schema else v.max_depth
+        self.fit = bool(selector) and depth >= 3 and not v.max_total_bytes and v.max_number_bytes >= 19
+        self.most = min(SHORT, v.max_string_bytes, v.max_key_bytes, limits.max_dynamic_string_bytes)
+        if schema:
+            self.names, self.kinds = [f.name for f in schema.fields], [f.kind for f in schema.fields]
+            self.fit &= set(self.kinds) <= {"i64", "string"}
+            pick = itemgetter(*self.names)
+            self.pick = pick if len(self.names) > 1 else lambda item: (pick(item),)
+
+    def read(self, docs: pa.Array):
+        """(row of the document of each item, number of items of each accepted document, its row, values of the
+        fields or texts of the items, rows that are left)."""
+        counts, rows, left, values = [], [], [], []
+        for i, d in enumerate(docs.to_pylist()):
+            if d is None or not self._one(d, values, counts):
+                left.append(i)
+            else:
+                rows.append(i)
+        return np.array(counts, np.int64), np.array(rows, np.int64), values, left
+
+    def _one(self, d: bytes, values: list, counts: list) -> bool:
+        if len(d) > self.most or b"\\" in d or b"-0" in d:
+            return False
+        try:
+            root = _load(d.decode())
+            if type(root) is not dict or type(items := root[self.selector]) is not list:
+                return False
+            if not set(map(type, items)) <= _DICT or len(root) + sum(map(len, items)) != d.count(b":"):
+                return False
+            # lists inside of lists could be deep, and numbers long
+            if d.count(b"[") + d.count(b"{") != 2 + len(items) or (self.names is None and not all(map(_short, chain([root], items)))):
+                return False
+            if self.names is None:
+                if items:
+                    texts = _dump(items)[2:-2].split("},{")
+                    if len(texts) != len(items):
+                        return False
+                    values += texts
+            else:
+                if not _short(root):
+                    return False
+                got = list(map(self.pick, items))
+                for column, kind in zip(zip(*got), self.kinds):
+                    if not set(map(type, column)) <= _TYPES[kind]:
+                        return False
+                    if kind == "i64" and column and (max(column) >= _MOST or min(column) <= -_MOST):
+                        return False
+                if sum(map(len, items)) != len(self.names) * len(items) and not all(map(_short, items)):
+                    return False
+                values += got
+        except (ValueError, KeyError, RecursionError):
+            return False
+        counts.append(len(items))
+        return True
+
+
+_DICT, _MOST = {dict}, 10**17
+_TYPES = {"i64": {int}, "string": {str, type(None)}}
+
+
+def _short(members: dict) -> bool:
+    """Whether no number is long."""
+    for v in members.values():
+        if type(v) is int and not -_MOST < v < _MOST:
+            return False
+    return True
+
+
 def item_rows(docs: pa.Array, selector: str, schema: Schema | None, limits: Limits):
+    """(accepted, row of the document, columns index and value or record) of an array's items. Documents that
+    Flat accepts come first, then those that Tokens accepts."""
+    flat = Flat(selector, schema, limits)
+    if not flat.fit:
+        return _item_rows(docs, selector, schema, limits)
+    counts, rows, values, left = flat.read(docs)
+    at = np.repeat(rows, counts)
+    index = pa.array(np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts))
+    if schema is None:
+        column = pa.array(["{" + x + "}" for x in values], pa.string())
+    else:
+        fields = list(zip(*values)) or [()] * len(flat.names)
+        column = pa.StructArray.from_arrays([pa.array(c, pa.int64() if k == "i64" else pa.string()) for c, k in zip(fields, flat.kinds)], flat.names)
+    ok = np.ones(len(docs), bool)
+    if not left:
+        return ok, at, [index, column]
+    left = np.array(left)
+    ok[left], more, columns = _item_rows(docs.take(pa.array(left)), selector, schema, limits)
+    return ok, np.concatenate([at, left[more]]), [pa.concat_arrays([a, b if b.type == a.type else b.cast(a.type)]) for a, b in zip([index, column], columns)]
+
+
+def _item_rows(docs: pa.Array, selector: str, schema: Schema | None, limits: Limits):
     """(accepted, row of the document, columns index and value or record) of an array's items."""
     tokens = Tokens(docs, limits.value, min(limits.max_depth, limits.value.max_depth) if schema else None)
     items = tokens.items(selector)

@@ -113,3 +113,16 @@ def test_a_failing_call_leaves_its_document_to_the_row_path():
 
     ok, rows, made = batch.Rewriting([("items", False)], refuse, None, ITEM, Limits()).rows(pa.array([b'{"items":[{"id":1}]}', b'{"items":[{"id":2,"label":"a"}]}'], pa.large_binary()))
     assert ok.tolist() == [False, True] and rows.tolist() == [1] and made.to_pylist() == ['{"items":[{"id":2,"label":"a","sub":[]}]}']
+
+
+def test_flat_items_are_read_by_the_scanner_with_the_same_rows():
+    many = ['{"n":"%s","items":[{"id":%s,"label":%s}%s]}' % (n, i, t, m) for n in ("a", ":", "[", "é") for i in ("1", "-0", "-5", "1.0", "1e2", "true", "123456789012345678901", '"3"') for t in ("null", '"x"', '"a:b"', '"},{"', "7", '"\\\\n"') for m in ("", ', {"id" : 2 ,"label":"y"}', ',{"id":2,"id":3,"label":"y"}', ',{"id":2}', ',{}', ",[[]]", ',{"id":4,"label":"z","q":[]}', ',{"id":4,"label":"z","q":1234567890123456789}')]
+    docs = pa.array([m.encode() for m in many] + [b'{"items":[]}', b'\xef\xbb\xbf{"items":[]}', b'{"items":[{"id":1,"label":"\xff"}]}', b'{"items":[{}]}', b'{"items":[NaN]}', None], pa.large_binary())
+    flat = S.schema(S.i64("id", required=True), S.string("label"))
+    for schema, least in ((flat, 10), (None, 10)):
+        for limits in (Limits(), Limits(max_depth=2, value=ValueLimits(max_depth=2)), Limits(value=ValueLimits(max_number_bytes=1))):
+            rows = batch.Flat("items", schema, limits)
+            assert not rows.fit or len(rows.read(docs)[1]) > least
+            (ok, at, columns), (want, there, others) = (f(docs, "items", schema, limits) for f in (batch.item_rows, batch._item_rows))
+            assert (ok >= want).all() and (ok == want).all()
+            assert sorted(zip(at.tolist(), *(c.to_pylist() for c in columns)), key=lambda r: r[:2]) == sorted(zip(there.tolist(), *(c.to_pylist() for c in others)), key=lambda r: r[:2])
