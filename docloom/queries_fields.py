@@ -396,7 +396,7 @@ def file_array_rewrite(spark, d):
     docs = _order_docs(spark, d)
     s = S.schema(S.i64("line"), S.string("flag"))
     path, out = sources.scratch(spark), sources.scratch(spark)
-    docs.select(F.concat(F.lit('{"id":'), _n("o_orderkey"), F.lit(',"items":'), F.get_json_object("doc", "$.items"), F.lit("}")).alias("value"), F.pmod(F.xxhash64("o_orderkey"), F.lit(3)).alias("p")).repartition(3, "p").select("value").write.text(path)
+    docs.select(F.concat(F.lit('{"id":'), _n("o_orderkey"), F.lit(',"items":'), F.get_json_object("doc", "$.items"), F.lit("}")).alias("value")).write.text(path)
     sources.rewrite_lines(spark, path, out, lambda c: J.array_rewrite(c, "items", [Rule(drop(), {"flag": "R"})]))
     rows = sources.read_jsonl(spark, out).select(J.decode("doc", S.schema(S.i64("id", required=True), S.object_array("items", *s.fields))).value.alias("v"))
     return rows.select(F.col("v.id").alias("l_orderkey"), F.posexplode("v.items").alias("idx", "i")).select("l_orderkey", F.col("idx").cast("long").alias("idx"), "i.line", "i.flag")

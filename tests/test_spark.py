@@ -193,3 +193,18 @@ def test_an_encoded_text_is_made_once(spark):
     assert [tuple(r) for r in out.collect()] == [
         ('{"k":1,"s":"plain"}', '"plain"'), ('{"k":2,"s":"q\\"\\\\ é\x7f\\u000b\\n"}', '"q\\"\\\\ é\x7f\\u000b\\n"'), ('{"k":3,"s":null}', "null"), ('{"k":4,"s":""}', '""')
     ]
+
+
+def test_written_documents_are_not_dealt_to_a_fixed_number_of_tasks(spark, monkeypatch, tmp_path):
+    from docloom import queries_fields
+
+    made = []
+    monkeypatch.setattr(sources, "scratch", lambda spark: made.append(str(tmp_path / f"f{len(made)}")) or made[-1])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        queries_fields.file_array_rewrite(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(list((tmp_path / "f0").glob("part-*"))) == 6
