@@ -6,12 +6,15 @@ document; sources stay narrow (no shuffle). A document is never split across tas
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import PythonEvalType
 
 from .. import batch as many
 from .. import framing
@@ -186,30 +189,88 @@ def chunks(df: DataFrame, doc: str, size: int, keep: list[str] = ()) -> DataFram
     return expand(df, doc, list(keep), CHUNK, lambda d: framing.chunked(d, size))
 
 
+def _distinct(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """(a row for each distinct tuple of values, the number of each row's tuple)."""
+    codes = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        d = c.dictionary_encode(null_encoding="encode")
+        codes = np.unique(codes * len(d.dictionary) + d.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    _, first, which = np.unique(codes, return_index=True, return_inverse=True)
+    return first, which
+
+
+def row_lists(result: T.StructType, rows: Callable[..., Iterator[dict]], at_once: Callable | None = None):
+    """An Arrow UDF: the list of the rows that rows(document bytes, *other arguments) yields (null
+    documents: an empty one). Equal arguments are read once in a piece of a batch; lists leave a piece at a
+    time. at_once(*other arguments): a function of many documents as in expand, or None."""
+    kind = arrow_type(T.ArrayType(result))
+    row = kind.value_type
+    error_at = row.get_field_index("error")
+
+    def piece(docs: pa.Array, others: list[pa.Array]) -> pa.Array:
+        values = [o.to_pylist() for o in others]
+        done, at, left = [], [], range(len(docs))
+        together = at_once(*[v[0] for v in values]) if at_once and all(v.count(v[0]) == len(v) for v in values) else None
+        if together:
+            ok, whose, columns = together(docs)
+            columns = [c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, row)]
+            columns.insert(error_at, errors_column([ok_row()] * len(whose), row[error_at].type))
+            done.append(pa.StructArray.from_arrays(columns, fields=list(row)))
+            at.append(np.asarray(whose, np.int64))
+            left = np.flatnonzero(~ok).tolist()
+        out, whose = [], []
+        for i in left:
+            d = docs[i].as_py()
+            if d is not None:
+                n = len(out)
+                out.extend(rows(as_bytes(d), *[v[i] for v in values]))
+                whose.extend([i] * (len(out) - n))
+        columns = [errors_column([r["error"] for r in out], f.type) if f.name == "error" else pa.array([r[f.name] for r in out], f.type) for f in row]
+        done.append(pa.StructArray.from_arrays(columns, fields=list(row)))
+        at.append(np.array(whose, np.int64))
+        at = np.concatenate(at)
+        offsets = np.zeros(len(docs) + 1, np.int32)
+        np.cumsum(np.bincount(at, minlength=len(docs)), out=offsets[1:])
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(done).take(pa.array(np.argsort(at, kind="stable"))), type=kind)
+
+    def run(batches):
+        for batch in batches:
+            docs, *others = batch if isinstance(batch, (tuple, list)) else (batch,)
+            docs = many.binary(docs)
+            for first, end in many.parts(many.lengths_of(docs)):
+                columns = [c.slice(first, end - first) for c in (docs, *others)]
+                one, which = _distinct(columns)
+                columns = [c.take(pa.array(one)) for c in columns]
+                yield piece(columns[0], columns[1:]).take(pa.array(which))
+
+    run.__annotations__ = {}  # strings here, which the UDF's type inference can't read
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", UserWarning)
+        return F.arrow_udf(run, T.ArrayType(result), PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF)
+
+
 def register(spark: SparkSession, limits: Limits | None = None) -> None:
     """Table functions for SQL: json_candidates(doc, framing), json_items(doc, selector),
     json_events(doc), json_leaves(doc), sse_events(doc), multipart_parts(body, content_type),
-    text_chunks(doc, size); to be used with LATERAL."""
+    text_chunks(doc, size); to be used with LATERAL. Each is a SQL function over an Arrow function
+    docloom_<name> that gives a document's rows as a list."""
     lim = limits or Limits()
 
-    def table(result: T.StructType, rows: Callable[..., Iterator[dict]]):
-        names = result.fieldNames()
-
-        class Rows:
-            def eval(self, *args):
-                if args[0] is not None:
-                    for r in rows(as_bytes(args[0]), *args[1:]):
-                        yield tuple(r[n] for n in names)
-
-        return F.udtf(Rows, returnType=result)
-
-    for name, result, rows in (
-        ("json_candidates", CANDIDATE, lambda d, mode=framing.AUTO: framing.candidates(d, mode, lim.value)),
-        ("json_items", ITEM, lambda d, selector="": framing.array_items(d, selector, None, lim.value)),
-        ("json_events", EVENT, lambda d: framing.events(d, True, lim.value)),
-        ("json_leaves", LEAF, lambda d: framing.leaves(d, lim.value)),
-        ("sse_events", SSE, lambda d: framing.sse_events(d, lim.sse)),
-        ("multipart_parts", PART, lambda d, t: framing.multipart_parts(d, t or "", lim.multipart)),
-        ("text_chunks", CHUNK, lambda d, n: framing.chunked(d, int(n))),
+    def items(selector):
+        return (lambda d: many.item_rows(d, selector, None, lim)) if selector is not None and not set(selector) & set(".[") else None
+
+    for name, more, result, rows, at_once in (
+        ("json_candidates", "framing STRING DEFAULT 'auto'", CANDIDATE, lambda d, mode: framing.candidates(d, mode, lim.value), None),
+        ("json_items", "selector STRING DEFAULT ''", ITEM, lambda d, selector: framing.array_items(d, selector, None, lim.value), items),
+        ("json_events", "", EVENT, lambda d: framing.events(d, True, lim.value), lambda: lambda d: many.event_rows(d, lim.value, True, None, False)),
+        ("json_leaves", "", LEAF, lambda d: framing.leaves(d, lim.value), lambda: leaf_rows(lim.value)),
+        ("sse_events", "", SSE, lambda d: framing.sse_events(d, lim.sse), None),
+        ("multipart_parts", "content_type STRING", PART, lambda d, t: framing.multipart_parts(d, t or "", lim.multipart), None),
+        ("text_chunks", "size BIGINT", CHUNK, lambda d, n: framing.chunked(d, int(n)), None),
     ):
-        spark.udtf.register(name, table(result, rows))
+        spark.udf.register(f"docloom_{name}", row_lists(result, rows, at_once))
+        parameters = ", ".join(p for p in ("doc BINARY", more) if p)
+        arguments = ", ".join(p.split()[0] for p in parameters.split(", "))
+        table = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in result.fields)
+        columns = ", ".join(f"r.`{n}`" for n in result.fieldNames())
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS TABLE ({table}) RETURN SELECT {columns} FROM (SELECT explode(docloom_{name}({arguments})) AS r)")

@@ -4,6 +4,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from docloom import framing
 from docloom import functions as J
 from docloom import operators as O
 from docloom import plans as P
@@ -78,6 +79,28 @@ def test_table_operators(docs, spark):
     assert sorted(tuple(r) for r in got) == [("id", "1"), ("label", "xé"), ("q.0", "1"), ("q.1", "2")]
     assert spark.sql("select count(*) from lateral json_candidates('1 2 3')").first()[0] == 3
 
+def test_table_functions_many_documents_at_once(spark):
+    """Equal to the row generators on odd documents, through Arrow, with rows of a piece at a time."""
+    texts = ['{"a":[1,{"b":"x"}],"k":2}', '{"a":["\\\\u00e9"]}', '{"a":[1, 2', "", "[]", None, '{"a":7}', '{"a":[1],"a":[2]}', "[" * 70, '{"a":[true]} x', '{"é":null}', '{"a":[1,{"b":"x"}],"k":2}']
+    docs = [(i, t, m) for i, (t, m) in enumerate((t, m) for m in ("a", "", "a.b", None) for t in texts)]
+    df = spark.createDataFrame([(i, None if t is None else t.encode(), t, m) for i, t, m in docs] + [(len(docs), b'{"a":["\\xff"]}', "x", "a")], "k long, b binary, t string, m string").coalesce(1)
+    df.createOrReplaceTempView("odd_docs")
+    O.register(spark)
+    cases = {
+        "json_items(b, 'a')": lambda d, m: framing.array_items(d, "a"), "json_items(b, m)": lambda d, m: framing.array_items(d, m), "json_items(b)": lambda d, m: framing.array_items(d),
+        "json_candidates(b)": lambda d, m: framing.candidates(d), "json_candidates(b, 'single')": lambda d, m: framing.candidates(d, "single"), "json_events(b)": lambda d, m: framing.events(d),
+        "json_leaves(b)": lambda d, m: framing.leaves(d), "sse_events(b)": lambda d, m: framing.sse_events(d), "text_chunks(b, 5)": lambda d, m: framing.chunked(d, 5), "multipart_parts(b, m)": lambda d, m: framing.multipart_parts(d, m or ""),
+    }
+    given = df.collect()
+    for call, rows in cases.items():
+        got = spark.sql(f"select k, x.* from odd_docs, lateral {call} x")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "PythonUDTF" not in plan and "Exchange" not in plan
+        want = [(r.k, *[w[n] for n in got.columns[1:]]) for r in given if r.b is not None for w in rows(bytes(r.b), r.m)]
+        assert [tuple(x.asDict(True).values()) for x in got.collect()] == want, call
+    assert spark.sql("select x.value from odd_docs, lateral json_items(t, 'a') x where k = 1").collect()[0][0] == '"\\\\u00e9"'
+    assert spark.sql("select count(*) from odd_docs left join lateral json_leaves(b) x on true where k = 5").first()[0] == 1
+
 
 def test_sse_json_names(spark):
     body = 'event: keep\ndata: {"id":1}\n\nevent: skip\ndata: {"id":2}\n\ndata: {"id":3}\nevent: keep\n\nretry: 5\n\ndata: {"id":4}\n\nevent: keep\ndata: {"id":"x"}\n\n'
