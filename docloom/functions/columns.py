@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,12 +55,39 @@ def strings(a: pa.Array):
     return a.to_pylist()
 
 
-def row_udf(result: T.DataType, one: Callable):
+def _bracketed(docs: pa.Array, most: int) -> np.ndarray:
+    """Rows of texts with more opening brackets than that."""
+    count = pc.add(pc.count_substring(docs, "["), pc.count_substring(docs, "{"))
+    return np.flatnonzero(pc.fill_null(pc.greater(count, most), False).to_numpy(zero_copy_only=False))
+
+
+def row_udf(result: T.DataType, one: Callable, together: Callable | None = None, most: int = 0):
     """An Arrow UDF that applies `one` to each row: bytes of the first column (never None: a
-    null document gives a null result), Python values of the others."""
+    null document gives a null result), Python values of the others. together, for a struct of a value and an
+    error: a function of many documents with more than `most` opening brackets, which C readers leave to the
+    tokenizer (accepted ones, values of all); `one` reads what it does not accept."""
     kind = arrow_type(result)
 
+    def at_once(docs: pa.Array, rows: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """The rows that are accepted and their results."""
+        docs = docs.take(pa.array(rows))
+        accepted, values = [], []
+        for first, end in many.parts(many.lengths_of(docs)):
+            ok, column = together(docs.slice(first, end - first))
+            accepted.append(ok)
+            values.append((column if column.type == kind[0].type else column.cast(kind[0].type)).filter(pa.array(ok)))
+        value, ok = pa.concat_arrays(values), np.concatenate(accepted)
+        return rows[ok], pa.StructArray.from_arrays([value, pa.repeat(pa.scalar(ok_row(), kind[1].type), len(value))], fields=list(kind))
+
     def run(*columns: pa.Array) -> pa.Array:
+        if together:
+            raw = many.binary(columns[0])
+            rows = _bracketed(raw, most)
+            if len(rows):
+                rows, done = at_once(raw, rows)
+                others = np.delete(np.arange(len(raw)), rows)
+                rest = pa.array([None if (d := raw[i].as_py()) is None else one(d) for i in others.tolist()], kind)
+                return pa.concat_arrays([done, rest]).take(pa.array(np.argsort(np.concatenate([rows, others]), kind="stable")))
         docs, *rest = [strings(columns[0]), *[c.to_pylist() for c in columns[1:]]]
         return pa.array([None if d is None else one(as_bytes(d), *r) for d, *r in zip(docs, *rest)], kind)
 
@@ -100,7 +128,11 @@ def validate_json(c, limits: Limits | None = None) -> Column:
         except JsonError as e:
             return {"valid": False, "error": e.row()}
 
-    return row_udf(struct_type(valid="boolean", error=ERROR), one)(col_of(c))
+    def together(docs: pa.Array):
+        ok = many.Tokens(docs, value_limits).ok
+        return ok, pa.array(ok)
+
+    return row_udf(struct_type(valid="boolean", error=ERROR), one, together, value_limits.max_depth)(col_of(c))
 
 
 def canonical_json(c, mode: str = "preserve_escapes", limits: Limits | None = None) -> Column:
@@ -279,7 +311,18 @@ def decode(c, schema, limits: Limits | None = None, fields: list[str] | None = N
         except JsonError as e:
             return {"value": None, "error": e.row()}
 
-    udf = row_udf(struct_type(value=s.plain(), error=ERROR), one)
+    lim = limits or Limits()
+
+    def together(docs: pa.Array):
+        tokens = many.Tokens(docs, lim.value, min(lim.max_depth, lim.value.max_depth))
+        roots = np.flatnonzero((tokens.depth == 0) & tokens.is_value())
+        at = np.full(len(docs), -1, np.int64)
+        at[tokens.doc[roots]] = np.arange(len(roots))
+        records = tokens.records(roots, s, lim)
+        return tokens.ok, records.take(pa.array(at, mask=at < 0))
+
+    plain = into is None and many.plain_schema(s.fields)
+    udf = row_udf(struct_type(value=s.plain(), error=ERROR), one, together if plain else None, lim.max_depth)
     return udf(col_of(c), col_of(into)) if into is not None else udf(col_of(c))
 
 

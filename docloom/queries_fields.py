@@ -361,14 +361,16 @@ def file_candidates(spark, d):
 @query("SELECT user_id, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k FROM events GROUP BY 1")
 def file_items(spark, d):
     """One array in each of many files; each file is validated, decoded and visited whole as well."""
-    docs = _user_streams(spark, d, ", ", "[{}]").select(F.concat(F.lit('{"user":'), _n("user_id"), F.lit(', "rows":'), "doc", F.lit("}")).alias("doc"))
+    user = F.coalesce(_n("user_id"), F.lit("null"))
+    docs = _user_streams(spark, d, ", ", "[{}]").select(F.concat(user, F.lit(".json")).alias("name"), F.concat(F.lit('{"user":'), user, F.lit(', "rows":'), "doc", F.lit("}")).alias("doc"))
     path = sources.scratch(spark)
-    docs.repartition(4).write.option("maxRecordsPerFile", 1).text(path)
-    whole = sources.read_documents(spark, path).withColumnRenamed("path", "file")
-    users = whole.where(J.validate_json("content").valid).select("file", J.decode("content", S.schema(S.i64("user"))).value.user.alias("user_id"))
-    items = sources.read_items(spark, path, "rows", S.schema(S.i64("k")))
-    leaves = O.json_leaves(whole, "content", ["file"]).groupBy("file").agg((F.count("*") - 1).alias("n"))
-    return items.groupBy(F.col("path").alias("file")).agg(F.sum("record.k").alias("k")).join(users, "file").join(leaves, "file").select("user_id", "n", "k")
+    sources.write_files(docs, "name", F.encode("doc", "UTF-8"), path)
+    files = sources.read_documents(spark, path)
+    items = sources.read_items(spark, files, "rows", S.schema(S.i64("k"))).groupBy(F.col("path").alias("file")).agg(F.sum("record.k").alias("k"))
+    user_id = J.decode("content", S.schema(S.i64("user"))).value.user
+    whole = files.select(F.col("path").alias("file"), J.validate_json("content").valid.alias("valid"), user_id.alias("user_id"), "content")
+    leaves = O.json_leaves(whole, "content", ["file", "valid", "user_id"]).where("valid").groupBy("file", "user_id").agg((F.count("*") - 1).alias("n"))
+    return items.join(leaves, "file").select("user_id", "n", "k")
 
 
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer")

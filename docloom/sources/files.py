@@ -14,24 +14,38 @@ from ..limits import INVALID_ARGUMENT, IO_ERROR, JsonError, Limits
 from ..operators import array_items, candidates, object_stream
 
 
+#: Partitions of small files that one task may read, and the mean of bytes up to which they are small.
+TOGETHER, SMALL = 8, 64 << 20
+
+
 def read_documents(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
-    """path, content (bytes as they are) of each file."""
+    """path, content (bytes as they are) of each file. Spark counts any file as 4 MB, so that 32 small ones
+    are a task of their own; up to 8 such tasks are made one, while each core has some."""
     reader = spark.read.format("binaryFile")
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path", "content")
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path", "content")
+    now = files.rdd.getNumPartitions()
+    size = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return files.coalesce(max(-(-now // TOGETHER), -(-size // SMALL), min(now, 4 * spark.sparkContext.defaultParallelism), 1))
+
+
+def _documents(spark: SparkSession, source) -> DataFrame:
+    """Of a path, or of documents that read_documents gave, so that several readers share a listing."""
+    return source if isinstance(source, DataFrame) else read_documents(spark, source)
 
 
 def read_objects(spark: SparkSession, path, schema, limits: Limits | None = None) -> DataFrame:
-    """path, seq, stream_offset, record, error of files of concatenated objects."""
-    return object_stream(read_documents(spark, path), "content", schema, ["path"], limits)
+    """path, seq, stream_offset, record, error of files of concatenated objects. Here and below, path may also
+    be what read_documents gave."""
+    return object_stream(_documents(spark, path), "content", schema, ["path"], limits)
 
 
 def read_items(spark: SparkSession, path, selector: str = "", schema=None, limits: Limits | None = None) -> DataFrame:
     """path, index, value or record, error of the items of one array in each file."""
-    return array_items(read_documents(spark, path), "content", selector, ["path"], schema, limits)
+    return array_items(_documents(spark, path), "content", selector, ["path"], schema, limits)
 
 
 def read_candidates(spark: SparkSession, path, framing: str = "auto", limits: Limits | None = None) -> DataFrame:
-    return candidates(read_documents(spark, path), "content", ["path"], framing, limits)
+    return candidates(_documents(spark, path), "content", ["path"], framing, limits)
 
 
 def read_jsonl(spark: SparkSession, path) -> DataFrame:

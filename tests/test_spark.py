@@ -1,10 +1,12 @@
 import http.server
 import threading
+from unittest import mock
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom import framing
+from docloom import batch, framing
 from docloom import functions as J
 from docloom import operators as O
 from docloom import plans as P
@@ -12,7 +14,9 @@ from docloom import schema as S
 from docloom import sources
 from docloom.engine import Engine
 from docloom.limits import JsonError, Limits, ValueLimits
+from docloom.records import Decoder
 from docloom.streaming import push_items, push_objects, push_sse
+from docloom.strict import validate
 
 ITEM = S.schema(S.i64("id", required=True), S.string("label"))
 
@@ -102,6 +106,55 @@ def test_table_functions_many_documents_at_once(spark):
     assert spark.sql("select count(*) from odd_docs left join lateral json_leaves(b) x on true where k = 5").first()[0] == 1
 
 
+def test_documents_with_many_brackets_are_read_together(spark):
+    """More opening brackets than the C readers are given: the same rows as one by one, mixed with others."""
+    s, lim = S.schema(S.i64("id", required=True), S.string("label"), S.object_array("sub", S.i64("n"))), Limits(max_depth=3, value=ValueLimits(max_depth=3))
+    one = '{"id":%s,"label":%s,"sub":[{"n":1},{"n":2},{}],"q":%s}'
+    texts = [one % (i, t, q) for i in (7, "1.5", '"x"', -0) for t in ('"a"', '"é"', "null", '"\\n"', '"\x01"', "3") for q in ("[[1]]", "[[[1]]]", "[{},{}]", "[1}", '{"a":1,"a":2}', "0")]
+    texts += ["", None, "[[],[],[],[]]", "[[],[],[],[]] x", '[{},{},{},{}', '{"id":1,"id":2,"sub":[{},{},{}]}', '{"label":"b","sub":[{},{},{}]}', '{"id":1}', "[" * 9 + "]" * 9, '{"id":1,"sub":[{},{},1,{}]}'] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, doc string").coalesce(1)
+    decoder = Decoder(s, lim)
+
+    def alone(f, d):
+        try:
+            return f(d.encode())
+        except JsonError as e:
+            return e.code, e.row()["offset"] if e.data else None
+
+    for r in df.select("k", J.validate_json("doc", lim).alias("v"), J.decode("doc", s, lim).alias("d")).collect():
+        d = texts[r.k]
+        if d is None:
+            assert r.v is None and r.d is None
+            continue
+        want = alone(lambda b: validate(b, lim.value), d)
+        assert (r.v.valid, r.v.error.code) == ((True, "ok") if want is None else (False, want[0])), d
+        want = alone(lambda b: decoder.decode(b)[0], d)
+        assert (r.d.value.asDict(True) if r.d.value else r.d.error.code) == (want if isinstance(want, dict) else want[0]), d
+    long = '{"id":1,"sub":[' + ",".join(['{"n":5}'] * 100) + "]}"
+    with mock.patch("docloom.functions.columns.many.Tokens", side_effect=batch.Tokens) as tokens:
+        assert decode_one(J.decode, long, s) and tokens.called
+
+
+def decode_one(make, doc, s):
+    """The Arrow function of a column function, called here: whether one document goes through it."""
+    seen = []
+    with mock.patch("docloom.functions.columns.F.arrow_udf", side_effect=lambda run, kind: lambda *c: seen.append(run)):
+        make("doc", s)
+    return seen[0](pa.array([doc, None])).to_pylist()[0]["error"]["code"] == "ok"
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """1,100 small files are 35 tasks of Spark's, here 16; one listing serves two readers."""
+    many = spark.range(1100).select(F.concat(F.col("id").cast("string"), F.lit(".json")).alias("name"), F.concat(F.lit('{"rows":[{"k":'), "id", F.lit("},{}]}")).alias("doc"))
+    sources.write_files(many, "name", F.encode("doc", "UTF-8"), str(tmp_path / "many"))
+    files = sources.read_documents(spark, str(tmp_path / "many"))
+    assert files.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism == 16
+    items = sources.read_items(spark, files, "rows", S.schema(S.i64("k")))
+    assert items.agg(F.count("*"), F.sum("record.k"), F.count_distinct("path")).first()[:] == (2200, 1099 * 550, 1100)
+    assert files.where(J.validate_json("content").valid).count() == 1100
+
+
+
 def test_sse_json_names(spark):
     body = 'event: keep\ndata: {"id":1}\n\nevent: skip\ndata: {"id":2}\n\ndata: {"id":3}\nevent: keep\n\nretry: 5\n\ndata: {"id":4}\n\nevent: keep\ndata: {"id":"x"}\n\n'
     df = spark.createDataFrame([(1, body)], "k long, doc string")
