@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -65,6 +66,22 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def broadcasts_up_to(spark: SparkSession, most: int):
+    """While it lasts, Spark by itself broadcasts no side of a join above `most` bytes (a lower
+    threshold of the session stays): the driver holds a broadcast table, with its hash index and
+    its serialised pieces, at several times the bytes that the threshold counts."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n, None) for n in names]
+    spark.conf.set(names[0], str(min(most, int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()))))
+    spark.conf.unset(names[1])  # then it is as the first
+    try:
+        yield
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
 def without(df: DataFrame, names) -> DataFrame:
     """df without columns that an operator's own would clash with (these replace them)."""
     taken = {n.lower() for n in names}

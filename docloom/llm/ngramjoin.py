@@ -27,7 +27,8 @@ of bounded size; a block emits links only.
 
 Sets travel packed by hash range (one row per task and range), are grouped in numpy, and
 verified sets are shipped once per member. All intermediate tables are written to the shared
-folder; nothing about documents, links or components comes to the driver but counts.
+folder; nothing about documents, links or components comes to the driver but counts, and tables
+of bounded size that it broadcasts (LOOKUP_BYTES, BROADCAST_BYTES, a bitmap of MARKS bits).
 
 Defined results: null or empty texts, and texts without words, have n_shingles 0 and are
 their own component; rows without a doc_id have component_id null and link with nothing;
@@ -44,7 +45,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import configure, discard, grams, input_bytes, materialize, mix, slices, table, text_bytes, trim, words
+from .common import broadcasts_up_to, configure, discard, grams, input_bytes, materialize, mix, slices, table, text_bytes, trim, words
 
 WORDS = 5
 #: Jaccard threshold as a fraction.
@@ -426,15 +427,32 @@ def _links(pairs: DataFrame, sets: DataFrame, tag: str) -> DataFrame:
     return materialize(_pairs_with(pairs.select("a", "b"), sets, ["body"]).mapInArrow(_verified, "a long, b long"), tag)
 
 
-#: Bytes of (key, doc_id) rows up to which they are broadcast to the scan of the documents.
-LOOKUP_BYTES = 32 << 20
+#: Bytes of (key, doc_id) rows up to which they are broadcast to the scan of the documents: the
+#: driver builds and holds what is broadcast, at several times that size.
+LOOKUP_BYTES = 1 << 20
+#: Bytes up to which Spark may broadcast a side of a join by itself.
+BROADCAST_BYTES = 1 << 20
+#: Bits of the bitmap of wanted documents, and of one of its rows (Spark's bitmaps).
+MARKS, MARKS_ROW = 1 << 23, 1 << 15
+
+
+def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of wanted documents and a few others: those whose hashed doc_id has a bit in a
+    bitmap of one size for any input."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    row, bit = F.floor(at / MARKS_ROW).alias("_row"), (at % MARKS_ROW).alias("_bit")
+    marks = wanted.select(row, bit).groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_marks"))
+    byte = F.conv(F.hex(F.substring("_marks", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.select("*", row, bit).join(F.broadcast(marks), "_row").where(F.getbit(byte, F.col("_bit") % 8) == 1)
+    return found.select(rows.columns)
 
 
 def _fetch(keys: DataFrame, classes: DataFrame, rows: DataFrame, repeated: bool) -> DataFrame:
     """key, body of the wanted classes, read from one document of each."""
     wanted = materialize(keys.distinct().join(classes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id")), "op5-wanted")
     small = wanted.count() * 16 <= LOOKUP_BYTES
-    sets = rows.join(F.broadcast(wanted) if small else wanted, "doc_id").select("key", "text").mapInArrow(_sets, "key long, body binary")
+    sets = rows.join(F.broadcast(wanted), "doc_id") if small else _marked(rows, wanted).join(wanted.hint("shuffle_hash"), "doc_id")
+    sets = sets.select("key", "text").mapInArrow(_sets, "key long, body binary")
     # rows that share a doc_id may bring the same text again
     return materialize(sets.dropDuplicates(["key"]) if repeated else sets, "op5-sets")
 
@@ -445,7 +463,12 @@ def _both_keys(pairs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    spark = configure(docs.sparkSession)
+    with broadcasts_up_to(configure(docs.sparkSession), BROADCAST_BYTES):
+        return _near_duplicates(docs, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     info = materialize(rows.mapInArrow(_info, "doc_id long, n long, key long, sketch binary"), "op5-info")
     known = info.where("n > 0 and doc_id is not null")
@@ -505,12 +528,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = comp.join(least, "comp").select("key", "component_id")
     final = classes.select("key", "rep").join(named, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
     final = materialize(final, "op5-final")
-    out = info.drop("sketch").join(final, "key", "left")
+    # the caller's thresholds hold when this runs: no table of all classes is to be broadcast
+    out = info.drop("sketch").join(final.hint("merge"), "key", "left")
     mine = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), mine.alias("component_id"))
     if repeated:  # a text without words belongs to its document as well
         whole = out.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_whole"))
-        out = out.join(whole, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "n_shingles", F.coalesce("_whole", "component_id").alias("component_id"))
+        out = out.join(whole.hint("merge"), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "n_shingles", F.coalesce("_whole", "component_id").alias("component_id"))
     return out
 
 
@@ -564,5 +588,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the least doc_id stays; rows
     without a doc_id stay."""
     keep = near_duplicates(docs).where("component_id = doc_id").select(F.col("doc_id").alias("_dl_id")).distinct()
-    known = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("_dl_id"), "left_semi")
+    known = docs.where("doc_id is not null").join(keep.hint("merge"), F.col("doc_id") == F.col("_dl_id"), "left_semi")
     return known.unionByName(docs.where("doc_id is null"))

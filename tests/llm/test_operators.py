@@ -378,6 +378,36 @@ def test_near_duplicates_with_several_texts_of_one_id(spark):
     assert sum(b.num_rows for b in sets) == 1
 
 
+def test_near_duplicates_broadcast_little(spark, rows, monkeypatch):
+    """The driver holds no table that grows with the input: above their bounds, wanted documents are
+    found by a bitmap, and other joins are shuffled. The session's threshold comes back."""
+    plans, real = [], ngramjoin.materialize
+
+    def noted(df, tag):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, tag)
+
+    monkeypatch.setattr(ngramjoin, "materialize", noted)
+    monkeypatch.setattr(ngramjoin, "LOOKUP_BYTES", 0, raising=False)
+    monkeypatch.setattr(ngramjoin, "BROADCAST_BYTES", 0, raising=False)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    out = ngramjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == threshold and int(threshold.rstrip("b")) > 1 << 20
+    broadcast = [p for p in plans if "BroadcastExchange" in p]
+    assert 1 <= len(broadcast) <= 2 and all(p.count("BroadcastExchange") == 1 and "bitmap_construct_agg" in p for p in broadcast)
+    assert {r.doc_id: r.component_id for r in out.collect() if r.doc_id is not None} == brute_components(rows)
+
+
+def test_marked_rows_hold_all_wanted(spark):
+    docs = spark.range(-2000, 40_000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text")).union(spark.sql("select null, 'text'"))
+    docs = docs.union(docs.where("doc_id = 17"))
+    wanted = docs.where("doc_id % 17 = 0").select("doc_id").distinct()
+    got = Counter(r.doc_id for r in ngramjoin._marked(docs, wanted).collect())
+    ids = {r.doc_id for r in wanted.collect()}
+    assert ids <= set(got) and got[17] == 2 and len(got) < 1.05 * len(ids)
+
+
 def test_very_long_texts_meet():
     """More than 65,535 signatures of one set in one hash range."""
     text = " ".join(map(str, range(250_000)))
